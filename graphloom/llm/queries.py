@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import media, sharding
+from graphloom.llm import media, mixing, sharding
 from graphloom.llm.common import documents
 
 
@@ -14,6 +14,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(documents(spark, sf_dir))
+    taken = F.col("size") * F.size("draws")
+    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.concat_ws(",", F.col("draws").cast("array<string>")).alias("shards"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = media.write_wav(documents(spark, sf_dir).select("doc_id", "text"))
     out = media.read_wav(table)
@@ -24,6 +30,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_mixing": op2_mixing,
     "op9_media": op9_media,
 }
 
