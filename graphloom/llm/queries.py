@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import media, mixing, sharding
+from graphloom.llm import media, mixing, pieces, sharding, toxicity
 from graphloom.llm.common import documents
 
 
@@ -20,6 +20,36 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.concat_ws(",", F.col("draws").cast("array<string>")).alias("shards"))
 
 
+def held_out():
+    """Rows that no model learns from: crc32 of the id as text, modulo 3, is 1."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> toxicity.Model:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.fit(documents(spark, sf_dir) if docs is None else docs, labels, ~held_out())
+
+
+#: A score from which a document counts as toxic.
+TOXIC = 0.7
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = toxicity_model(spark, sf_dir)
+    out = toxicity.score(documents(spark, sf_dir).select("doc_id", "text"), model)
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(documents(spark, sf_dir).select("doc_id", "text"), piece_model())
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = media.write_wav(documents(spark, sf_dir).select("doc_id", "text"))
     out = media.read_wav(table)
@@ -31,6 +61,8 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
+    "op4_toxicity": op4_toxicity,
+    "op5_pieces": op5_pieces,
     "op9_media": op9_media,
 }
 
