@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import media, mixing, pieces, sharding, toxicity
+from graphloom.llm import media, merkle, mixing, pieces, sharding, tokenfile, toxicity
 from graphloom.llm.common import documents
+from graphloom.session import materialize
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +51,37 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(documents(spark, sf_dir).select("doc_id", "text"), piece_model())
 
 
+def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select("doc_id", "text", F.length("text").alias("n"), merkle.tree(F.col("text")).alias("tree"))
+    docs = docs.select("doc_id", "text", "n", F.col("tree.root").alias("root"), merkle.leaves(F.col("tree")).alias("leaves"))
+    rows = merkle.with_next(docs, ["text", "root", "leaves"], tie_col="root")
+    edited = F.concat(F.expr("left(text, n - floor(n / 2))"), F.expr("left(next_text, floor(n / 2))"))
+    rows = rows.withColumn("edited", edited).withColumn("edited_tree", merkle.tree(F.col("edited")))
+    rows = rows.select("*", F.col("edited_tree.root").alias("edited_root"), merkle.leaves(F.col("edited_tree")).alias("edited_leaves"))
+    like = lambda r, x: merkle.likeness(F.col("root"), F.col("leaves"), F.col(r), F.col(x))
+    return rows.select(
+        "doc_id",
+        F.col("n").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        F.col("root").alias("fingerprint"),
+        F.col("edited_root").alias("edited_fingerprint"),
+        like("edited_root", "edited_leaves").alias("near_edited"),
+        like("next_root", "next_leaves").alias("near_next"),
+    )
+
+
+def word_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = tokenfile.token_segments(documents(spark, sf_dir), word_model(), end_id=1)
+    return tokenfile.read_documents(materialize(segments, "tokens"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = media.write_wav(documents(spark, sf_dir).select("doc_id", "text"))
     out = media.read_wav(table)
@@ -63,6 +95,8 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op4_toxicity": op4_toxicity,
     "op5_pieces": op5_pieces,
+    "op6_merkle": op6_merkle,
+    "op7_tokenfile": op7_tokenfile,
     "op9_media": op9_media,
 }
 
