@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows of one Arrow batch sent to Python: bounds a worker's memory where texts are long.
-BATCH_ROWS = 500
+#: Bytes of one Arrow batch sent to Python: bounds a worker's memory where texts are long.
+BATCH_BYTES = 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,10 +30,7 @@ def n_bytes(text: Column) -> Column:
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with batches small enough for long texts."""
-    conf = df.sparkSession.conf
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(conf.get(key, "10000")) > BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(f, schema)
 
 

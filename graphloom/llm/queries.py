@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import media, merkle, mixing, pieces, sharding, tokenfile, toxicity
+from graphloom.llm import media, merkle, mixing, pieces, sharding, simhash, tokenfile, toxicity
 from graphloom.llm.common import documents
 from graphloom.session import materialize
 
@@ -21,6 +21,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.concat_ws(",", F.col("draws").cast("array<string>")).alias("shards"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(documents(spark, sf_dir))
+    return out.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def held_out():
     """Rows that no model learns from: crc32 of the id as text, modulo 3, is 1."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
@@ -93,6 +98,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
+    "op3_simhash": op3_simhash,
     "op4_toxicity": op4_toxicity,
     "op5_pieces": op5_pieces,
     "op6_merkle": op6_merkle,
