@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import media, merkle, mixing, pieces, sharding, simhash, tokenfile, toxicity
+from graphloom.llm import media, merkle, mixing, pieces, sharding, simhash, substrings, suffixes, tokenfile, toxicity
 from graphloom.llm.common import documents
 from graphloom.session import materialize
 
@@ -87,6 +87,16 @@ def op7_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_documents(materialize(segments, "tokens"))
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = media.write_wav(documents(spark, sf_dir).select("doc_id", "text"))
     out = media.read_wav(table)
@@ -103,7 +113,9 @@ QUERIES = {
     "op5_pieces": op5_pieces,
     "op6_merkle": op6_merkle,
     "op7_tokenfile": op7_tokenfile,
+    "op8_suffixes": op8_suffixes,
     "op9_media": op9_media,
+    "op10_substrings": op10_substrings,
 }
 
 ORACLE_SQL: dict[str, str] = {}
