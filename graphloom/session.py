@@ -73,8 +73,11 @@ def release(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+def _delete_path(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _delete_path(spark, path)
     _written.remove(path)
