@@ -38,7 +38,7 @@ def conform(df: DataFrame, schema: tuple, order: list[str], kind: str, natural_k
     for name, kind_, default in schema:
         have = name in df.columns
         if name == "id":
-            made = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in natural_key]), 256)
+            made = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in natural_key if k in df.columns]), 256)
             c = F.coalesce(F.col("id").cast("string"), made) if have else made
         elif name == "human_readable_id":
             if have:

@@ -1 +1,6 @@
-"""graphloom.plans"""
+"""Whole plans, and the registry of named queries."""
+
+from graphloom.plans import text_queries
+from graphloom.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "text_queries"]
