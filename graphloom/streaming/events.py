@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 10).parquet(path)
+def read_events(spark: SparkSession, folder: str, pattern: str = "*.parquet", files_per_trigger: int = 10) -> DataFrame:
+    """Event files of ``folder`` whose names match ``pattern``, as they arrive."""
+    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
