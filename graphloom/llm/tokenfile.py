@@ -17,10 +17,13 @@ ordered by their text. An empty table gives no segments.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ HEAD = struct.Struct("<8sBBHIQQ")  # magic, id width, low bits, select step, doc
 STEP = 64
 #: Ids after which a segment is closed.
 SEGMENT_IDS = 1 << 20
-CACHE = 700_000
+CACHE = 500_000
 
 
 # --- Elias-Fano -------------------------------------------------------------
@@ -118,17 +121,33 @@ def read_segment(data: bytes) -> tuple[EliasFano, np.ndarray]:
 # --- encoding ---------------------------------------------------------------
 
 
+def _stand_ins() -> list[str]:
+    """Byte-level vocabularies write a byte as its Latin-1 character, or, where that is blank or a control, as the next one from U+0100."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    table = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return [table[b] for b in range(256)]
+
+
+_STAND_INS = _stand_ins()
+
+
 class WordEncoder:
     """The tokenizers library, asked once for each distinct word.
 
-    Valid for tokenizers that drop white space and never join across it. Plain
-    ASCII text is also split between letters and other characters, and
-    lower-cased, where the tokenizer does both: ``split_letters``.
+    Valid for tokenizers that drop white space and never join across it. Latin
+    text (up to U+017F) is also lower-cased and split between letters and other
+    characters, where the tokenizer does both: ``split_letters``. A run of
+    letters then goes to the model as its bytes' printable stand-ins.
     """
 
-    _plain = re.compile(r"[a-z]+|[^\sa-z]+")
+    _other = re.compile("[^\x00-\u017f]|\u0130|'|<\\|")
+    _letters = re.compile("[a-zªµºß-öø-ſ]+")
+    _runs = re.compile("[a-zªµºß-öø-ſ]+|[^\t-\r a-zªµºß-öø-ſ]+")
 
     def __init__(self, path: str, split_letters: bool = True):
+        # A worker has one core; threads of the library would each keep memory.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -136,24 +155,55 @@ class WordEncoder:
         self.width = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
         self._words: dict[str, bytes] = {}
 
-    def encode(self, text: str, end_id: int | None = None) -> np.ndarray:
-        plain = self.split_letters and text.isascii() and "'" not in text and "<|" not in text
-        words = self._plain.findall(text.lower()) if plain else text.split(" ") if "\n" not in text else text.replace("\n", " ").split(" ")
+    def _split(self, text: str) -> list[str]:
+        if self.split_letters and not self._other.search(text):
+            return self._runs.findall(text.lower())
+        return text.replace("\n", " ").split(" ")
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of new words: letters go to the model at once, others joined by spaces and told apart by their offsets."""
+        known: dict[str, bytes] = {}
+        rest, kind, tokenize = [], "H" if self.width == "<u2" else "I", self.tok.model.tokenize
+        for w in words:
+            if self.split_letters and self._letters.fullmatch(w) and w == w.lower():
+                seen = w if w.isascii() else "".join([_STAND_INS[b] for b in w.encode()])
+                known[w] = array(kind, [t.id for t in tokenize(seen)]).tobytes()
+            elif w.isascii() or len(w.lower()) == len(w) and is_normalized("NFC", w):
+                rest.append(w)
+            else:  # normalising changes its length, and offsets with it
+                known[w] = np.array(self.tok.encode(w, add_special_tokens=False).ids, dtype=self.width).tobytes()
+        for at in range(0, len(rest), 400):
+            some = rest[at : at + 400]
+            got = self.tok.encode(" ".join(some), add_special_tokens=False)
+            begins = np.cumsum([0] + [len(w) + 1 for w in some[:-1]])
+            owner = np.searchsorted(begins, np.array([o[0] for o in got.offsets], dtype=np.int64), side="right") - 1
+            cuts = np.searchsorted(owner, np.arange(len(some) + 1))
+            ids = np.array(got.ids, dtype=self.width)
+            known.update((w, ids[a:b].tobytes()) for w, a, b in zip(some, cuts, cuts[1:], strict=False))
+        return known
+
+    def encode_many(self, texts: list[str], end_id: int | None = None) -> Iterator[np.ndarray]:
+        """Ids of each text; words new to all of them are asked for together."""
         known = self._words
-        packed = list(map(known.get, words))
-        if None in packed:
-            new = list(dict.fromkeys(w for w, p in zip(words, packed, strict=True) if p is None))
-            got = {w: np.array(e.ids, dtype=self.width).tobytes() for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-            packed = [got[w] if p is None else p for w, p in zip(words, packed, strict=True)]
-            if len(known) + len(got) > CACHE:
-                known.clear()
-            known.update((w, p) for w, p in got.items() if len(w) <= 64)
-        if end_id is not None:
-            packed.append(np.array([end_id], dtype=self.width).tobytes())
-        return np.frombuffer(b"".join(packed), dtype=self.width)
+        end = b"" if end_id is None else np.array([end_id], dtype=self.width).tobytes()
+        split = [self._split(t) for t in texts]
+        packed = [list(map(known.get, words)) for words in split]
+        new = dict.fromkeys(w for words, p in zip(split, packed, strict=True) if None in p for w, x in zip(words, p, strict=True) if x is None)
+        got = self._learn(list(new))
+        for words, p in zip(split, packed, strict=True):
+            if None in p:
+                p = [got[w] if x is None else x for w, x in zip(words, p, strict=True)]
+            p.append(end)
+            yield np.frombuffer(b"".join(p), dtype=self.width)
+        if len(known) + len(got) > CACHE:
+            known.clear()
+        known.update((w, x) for w, x in got.items() if len(w) <= 64)
+
+    def encode(self, text: str, end_id: int | None = None) -> np.ndarray:
+        return next(self.encode_many([text], end_id))
 
 
-_encoders: dict[tuple, WordEncoder] = {}
+_encoders: dict[str, WordEncoder] = {}
 
 
 def token_segments(docs: DataFrame, tokenizer: str, end_id: int | None = 1, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,7 +214,9 @@ def token_segments(docs: DataFrame, tokenizer: str, end_id: int | None = 1, part
     src = src.repartitionByRange(parts, "doc_id").sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoders.setdefault((tokenizer,), WordEncoder(tokenizer)) if (tokenizer,) not in _encoders else _encoders[(tokenizer,)]
+        if tokenizer not in _encoders:
+            _encoders[tokenizer] = WordEncoder(tokenizer)
+        enc = _encoders[tokenizer]
         ids: list[np.ndarray] = []
         names: list[int | None] = []
         held, seq, part = 0, 0, 0
@@ -175,8 +227,7 @@ def token_segments(docs: DataFrame, tokenizer: str, end_id: int | None = 1, part
 
         for b in batches:
             part = b.column(0)[0].as_py() if b.num_rows else part
-            for doc_id, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                got = enc.encode(text, end_id)
+            for doc_id, got in zip(b.column(1).to_pylist(), enc.encode_many(b.column(2).to_pylist(), end_id), strict=True):
                 ids.append(got)
                 names.append(doc_id)
                 held += len(got)
