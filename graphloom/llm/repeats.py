@@ -293,18 +293,14 @@ def settle_windows(rows: DataFrame, rule: Rule) -> DataFrame:
     return rows.join(same, ["g", "h"]).where(hit).select("doc", "at", F.lit(1).cast("long").alias("n"))
 
 
-def compare_contexts(rows: DataFrame, rule: Rule, group: int = 4096) -> DataFrame:
-    """Repeated windows among byte contexts ``(g, doc, at, context)``, for rules without ``smaller``.
+def compare_contexts(rows: DataFrame, rule: Rule) -> DataFrame:
+    """``(doc, at, n)``: stretches of windows that repeat among byte contexts ``(g, doc, at, context)``.
 
-    Grams of up to ``group`` contexts are compared where they meet. Output
-    ``(g, h, doc, at)``: with ``g`` null, ``h`` windows from ``at`` repeat; else
-    a window of a larger gram, for ``settle_windows``.
+    For rules without ``smaller``, and grams with few contexts: those of a gram
+    meet in one task.
     """
     limit = 2_000_000  # windows compared at once
 
-    def batch(g, h, doc, at) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.nulls(len(doc), pa.int64()) if g is None else pa.array(g), pa.array(h), pa.array(doc), pa.array(at)], names=["g", "h", "doc", "at"])
-
     def hashed(context: bytes) -> np.ndarray:
         return Hashes(rule.tokens(context)).every(rule.width)
 
@@ -325,41 +321,40 @@ def compare_contexts(rows: DataFrame, rule: Rule, group: int = 4096) -> DataFram
         n = np.diff(np.append(cut, len(hit)))
         offset = first - (np.cumsum(size) - size)[own]
         doc, at = np.array([x[1] for x in held]), np.array([x[2] for x in held])
-        yield batch(None, n, doc[own], at[own] + (offset << 8))
-
-    def pass_on(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        for gram, doc, at, context in held:
-            h = hashed(context)
-            yield batch(np.full(len(h), gram), h.view(np.int64), np.full(len(h), doc), at + (np.arange(len(h), dtype=np.int64) << 8))
+        yield pa.RecordBatch.from_arrays([pa.array(doc[own]), pa.array(at[own] + (offset << 8)), pa.array(n.astype(np.int64))], names=["doc", "at", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: list[tuple] = []  # whole groups
         current: list[tuple] = []
-        gram, big, windows = None, False, 0
+        gram, windows = None, 0
         for b in batches:
             for row in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
                 if row[0] != gram:
-                    if big:
-                        yield from pass_on(current)
-                    elif len(current) > 1:
+                    if len(current) > 1:
                         ready += current
                         windows += sum(len(x[3]) for x in current)
-                    gram, big, current = row[0], False, []
+                    gram, current = row[0], []
                     if windows >= limit:
                         yield from settle(ready)
                         ready, windows = [], 0
                 current.append(row)
-                if big or len(current) > group:
-                    big = True
-                    yield from pass_on(current)
-                    current = []
-        if big:
-            yield from pass_on(current)
-        else:
-            ready += current
-        yield from settle(ready)
+        yield from settle(ready + current)
+
+    return map_arrow(rows.select("g", "doc", "at", "context").repartition("g").sortWithinPartitions("g"), run, "doc long, at long, n long")
+
+
+def context_windows(rows: DataFrame, rule: Rule) -> DataFrame:
+    """``(g, h, doc, at)`` of every window of contexts, where the rows lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for g, doc, at, context in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
+                h = Hashes(rule.tokens(context)).every(rule.width)
+                n = len(h)
+                cols = [np.full(n, g), h.view(np.int64), np.full(n, doc), at + (np.arange(n, dtype=np.int64) << 8)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=["g", "h", "doc", "at"])
 
-    return map_arrow(rows.select("g", "doc", "at", "context").repartition("g").sortWithinPartitions("g"), run, "g long, h long, doc long, at long")
+    return map_arrow(rows.select("g", "doc", "at", "context"), run, "g long, h long, doc long, at long")
 
 
 def marked_tokens(rule: Rule, data: bytes, n: int, verdicts: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -370,7 +365,7 @@ def marked_tokens(rule: Rule, data: bytes, n: int, verdicts: np.ndarray, at: np.
     return covered(n, np.concatenate([first, a]), np.concatenate([last, a + length[mine] - 1]), rule.width)
 
 
-def resolve(docs: DataFrame, rule: Rule, contexts: bool, hot: int = HOT, run_anchors: int = RUN_ANCHORS, group: int = 4096, payloads: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def resolve(docs: DataFrame, rule: Rule, contexts: bool, hot: int = HOT, run_anchors: int = RUN_ANCHORS, group: int = 512, payloads: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(docs with their key, verdicts by doc, stretches by doc)``, for ``marked_tokens``.
 
     ``docs`` is ``(doc, text, ...)``; ``payloads`` are its runs where they exist already.
@@ -387,8 +382,11 @@ def resolve(docs: DataFrame, rule: Rule, contexts: bool, hot: int = HOT, run_anc
     rows = materialize(open_anchors(text.join(doubtful, "doc"), rule, contexts), "repeats-open")
     windows = rows.where("h IS NOT NULL").select("g", "h", "doc", "at")
     if contexts:
-        compared = materialize(compare_contexts(rows.where("h IS NULL"), rule, group), "repeats-compared")
-        stretches = compared.where("g IS NULL").select("doc", "at", F.col("h").alias("n")).unionByName(settle_windows(windows.unionByName(compared.where("g IS NOT NULL")), rule))
+        # A gram with many contexts is compared by window, so that no task holds all of them.
+        some = rows.where("h IS NULL")
+        many = materialize(some.groupBy("g").count().where(F.col("count") > group).select("g"), "repeats-many")
+        windows = windows.unionByName(context_windows(some.join(many, "g", "left_semi"), rule))
+        stretches = compare_contexts(some.join(many, "g", "left_anti"), rule).unionByName(settle_windows(windows, rule))
     else:
         stretches = settle_windows(windows, rule)
     stretches = stretches.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("stretches"))
