@@ -106,17 +106,16 @@ def _close_run(e: np.ndarray, rule: Rule, buckets: int, hot: int, salt: int) ->
     at = np.flatnonzero(new)
     size = np.diff(np.append(at, len(e)))
     head = np.repeat(at, size)  # the class's first entry: the smallest id
-    if rule.smaller:
-        settled = e["doc"] > e["doc"][head]
+    if rule.smaller:  # a document's anchors of one class share a verdict, see ``picked``
+        settled = (e["doc"] > e["doc"][head]) & _starts(e["g"], e["c"], e["doc"])
     else:
         settled = np.repeat(size > 1, size)
     told = e[settled].copy()
     told["flag"] = _TOLD
     chunks = [told[at : at + 100_000] for at in range(0, len(told), 100_000)]
     yield _payloads([(salt + i) % buckets for i in range(len(chunks))], chunks)
-    keep = ~settled if rule.smaller else new  # ties on the smallest id each need their own verdict
     e["flag"][at[size > 1]] |= _MULTI
-    e = e[keep]
+    e = e[new]
     if not len(e):
         return
     group = np.cumsum(_starts(e["g"])) - 1
@@ -244,9 +243,12 @@ def picked(rule: Rule, data: bytes, verdicts: np.ndarray, mask: int, bits: int):
     if not len(mine):
         none = np.empty(0, np.int64)
         return none.view(np.uint64), none, none
-    g, _, first, last = rule.of(data)
+    g, c, first, last = rule.of(data)
     mine = np.unique(mine)
     mine = mine[mine < len(g)]
+    if rule.smaller:
+        classes = mix(g) ^ (c >> np.uint64(32))
+        mine = np.flatnonzero(np.isin(classes, classes[mine]))
     return g[mine], first[mine], last[mine]
 
 
