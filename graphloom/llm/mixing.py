@@ -101,7 +101,8 @@ def plan(rows: DataFrame, seed: str = "mix", **targets) -> DataFrame:
         docs = docs.withColumn("run", F.sum(F.when(free, F.col("size")).otherwise(0)).over(by_hash))
         docs = docs.withColumn(f"c{i}", F.max(F.when(free & (F.col("run") <= F.col("gap")), F.col("h"))).over(whole))
         now = free & (F.col("h") <= F.coalesce(F.col(f"c{i}"), F.lit(-1)))
-        docs = docs.withColumn("gap", F.col("gap") - F.coalesce(F.sum(F.when(now, F.col("size"))).over(whole), F.lit(0))).withColumn(f"t{i}", now)
+        docs = docs.withColumn(f"t{i}", now)
+        docs = docs.withColumn("gap", F.col("gap") - F.coalesce(F.sum(F.when(F.col(f"t{i}"), F.col("size"))).over(whole), F.lit(0)))
         taken = taken | F.col(f"t{i}")
     closer = F.abs(F.col("gap") - F.col("size"))
     best = F.min(F.when((~taken) & (F.col("size") > 0) & (closer < F.col("gap")), F.struct(closer.alias("d"), F.col("h").alias("h"))))
