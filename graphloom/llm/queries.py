@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import media, merkle, mixing, pieces, sharding, simhash, substrings, suffixes, tokenfile, toxicity
+from graphloom.llm import media, merkle, mixing, oracles, pieces, sharding, simhash, substrings, suffixes, tokenfile, toxicity
 from graphloom.llm.common import documents
 from graphloom.session import materialize
 
@@ -118,4 +118,9 @@ QUERIES = {
     "op10_substrings": op10_substrings,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": oracles.MIXING,
+    "op6_merkle": oracles.MERKLE,
+    "op8_suffixes": oracles.SUFFIXES,
+    "op10_substrings": oracles.SUBSTRINGS,
+}
