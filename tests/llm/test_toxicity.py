@@ -36,7 +36,7 @@ def test_factors_learn_a_pair_that_weights_miss():
     rng = np.random.default_rng(0)
     xs, ys = [], []
     for _ in range(1500):
-        a, b = rng.random(2) < 0.5
+        a, b = (int(v) for v in rng.random(2) < 0.5)
         xs.append(np.array(sorted([1] * a + [2] * b + [10 + int(rng.integers(50))])))
         ys.append(float(a and b))
     m = toxicity.train(xs, np.array(ys), steps=600)
