@@ -362,9 +362,9 @@ def nac2(edges: DataFrame, vertices: DataFrame, k: int, features: DataFrame | No
     return numbered(rows.groupBy("g").applyInPandas(run, "node string, name int"))
 
 
-def leiden(edges: DataFrame, vertices: DataFrame, max_size: int | None = None) -> DataFrame:
-    """Leiden in one Arrow group for each component."""
-    comps = materialize(G.components(edges, vertices), "components")
+def leiden(edges: DataFrame, vertices: DataFrame, max_size: int | None = None, comps: DataFrame | None = None) -> DataFrame:
+    """Leiden in one Arrow group for each component; ``comps`` where they are known."""
+    comps = materialize(G.components(edges, vertices), "components") if comps is None else comps
     big = comps.groupBy("component").count().agg(F.max("count")).first()[0] or 0
     if big > 200_000:
         return label_propagation(edges, vertices)
@@ -410,11 +410,12 @@ def leiden_hierarchy(edges: DataFrame, vertices: DataFrame, max_size: int = 10,
 def leiden_k(edges: DataFrame, vertices: DataFrame, k: int) -> DataFrame:
     """The size limit whose Leiden partition has nearest to ``k`` communities; one or two off are halved or merged away."""
     n = vertices.count()
+    comps = materialize(G.components(edges, vertices), "components")
     tried: dict[int, tuple[int, DataFrame]] = {}
 
     def attempt(size: int) -> int:
         if size not in tried:
-            m = materialize(leiden(edges, vertices, size), "leiden-k")
+            m = materialize(leiden(edges, vertices, size, comps), "leiden-k")
             tried[size] = (m.select("community").distinct().count(), m)
         return abs(tried[size][0] - k)
 
