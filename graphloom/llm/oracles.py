@@ -82,10 +82,10 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(
 
 
 SUFFIXES = """WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
-p AS (SELECT doc_id, len(x) // 2 AS n, unnest(range(len(x) // 2)) AS i, x FROM d),
-g AS (SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, 800)) AS k FROM p WHERE i + 400 <= n),
-f AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY k) > 1),
-m AS (SELECT p.doc_id, p.i, substr(p.x, 2 * p.i + 1, 2) AS byte, coalesce(max(f.i) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS UNBOUNDED PRECEDING) > p.i - 400, false) AS gone FROM p LEFT JOIN f ON p.doc_id = f.doc_id AND p.i = f.i),
+q AS (SELECT doc_id, j, substr(x, 512 * j + 1, 1312) AS x, len(x) // 2 AS n FROM (SELECT doc_id, x, unnest(range((len(x) + 511) // 512)) AS j FROM d)),
+p AS MATERIALIZED (SELECT doc_id, 256 * j + i AS i, substr(x, 2 * i + 1, 2) AS byte, CASE WHEN 256 * j + i + 400 <= n THEN md5_number(substr(x, 2 * i + 1, 800)) END AS k FROM (SELECT *, unnest(range(least(256, n - 256 * j))) AS i FROM q)),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS c FROM p WHERE k IS NOT NULL) WHERE c > 1),
+m AS (SELECT p.doc_id, p.i, p.byte, coalesce(max(f.i) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS UNBOUNDED PRECEDING) > p.i - 400, false) AS gone FROM p LEFT JOIN f ON p.doc_id = f.doc_id AND p.i = f.i),
 s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS starts FROM m),
 a AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS kept FROM s GROUP BY 1)
 SELECT d.doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN a ON d.doc_id = a.doc_id"""
