@@ -45,8 +45,9 @@ def tree(text: Column) -> Column:
 
 
 def leaves(node: Column) -> Column:
-    """The distinct leaf hashes of a tree."""
-    return F.array_distinct(F.flatten(F.flatten(F.transform(node["sections"], lambda s: F.transform(s["paragraphs"], lambda p: p["leaves"])))))
+    """The distinct leaf hashes of a tree, in 64 bits each: what a shuffle has to carry to compare trees."""
+    every = F.flatten(F.flatten(F.transform(node["sections"], lambda s: F.transform(s["paragraphs"], lambda p: p["leaves"]))))
+    return F.array_distinct(F.transform(every, lambda x: F.xxhash64(x)))
 
 
 def likeness(root_a: Column, leaves_a: Column, root_b: Column, leaves_b: Column) -> Column:
