@@ -7,8 +7,8 @@
 2. Draws: documents of a source are permuted by a keyed hash and cut into
    blocks of equal probability. Every whole pass takes all blocks; the rest of
    the target takes blocks in permuted order, and the one boundary block is
-   resolved by document: a prefix of its permutation, then fill-ins that still
-   fit, then the single document closest to what is missing. The outcome is a
+   resolved by document: long ones, then a prefix of its permutation, then
+   fill-ins that still fit, then the single document closest to what is missing. The outcome is a
    handful of cut-offs per source, so the choice for a document is an
    expression over its own hash and size: no text is shuffled.
 3. Splitting tree: blocks drawn are ranked in one uniform permutation and the
@@ -66,6 +66,15 @@ def source_targets(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, limit
     return per.select("source", F.col("source_size").cast("long"), "n_docs", blocks.alias("n_blocks"), F.coalesce(F.least("cap", stop * F.col("weight")), F.col("cap")).alias("target"))
 
 
+#: Passes over the boundary block. The first takes only documents above a quarter of what is missing: short ones can't make up for them.
+PASSES = (1, 2, 3, 4)
+
+
+def _fits(i: int, size: Column, gap: Column) -> Column:
+    fits = (size <= gap) & (size > 0)
+    return fits & (size * 4 > gap) if i == 1 else fits
+
+
 def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
@@ -75,9 +84,9 @@ def plan(rows: DataFrame, seed: str = "mix", **targets) -> DataFrame:
 
     Columns: those of ``source_targets`` and ``full`` (whole passes), ``rest``,
     ``edge`` (the boundary block; blocks before it are drawn once more),
-    ``c1``, ``g1, c2``, ``g2, c3`` (in the boundary block, a hash up to ``c1``,
-    or one up to ``c2`` of a document of at most ``g1`` words, and so on) and
-    ``star`` (the hash of one closing document).
+    ``g1, c1`` to ``g4, c4`` (in the boundary block, pass i takes hashes up to
+    ``ci`` among documents of at most ``gi`` words) and ``star`` (the hash of
+    one closing document).
     """
     per = source_targets(rows, **targets)
     passes = F.coalesce(F.floor(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))), F.lit(0))
@@ -95,8 +104,8 @@ def plan(rows: DataFrame, seed: str = "mix", **targets) -> DataFrame:
     whole = Window.partitionBy("source")
     taken = F.lit(False)
     docs = docs.withColumn("gap", F.col("need"))
-    for i in (1, 2, 3):
-        free = (~taken) & (F.col("size") <= F.col("gap")) & (F.col("size") > 0)
+    for i in PASSES:
+        free = (~taken) & _fits(i, F.col("size"), F.col("gap"))
         docs = docs.withColumn(f"g{i}", F.col("gap"))
         docs = docs.withColumn("run", F.sum(F.when(free, F.col("size")).otherwise(0)).over(by_hash))
         docs = docs.withColumn(f"c{i}", F.max(F.when(free & (F.col("run") <= F.col("gap")), F.col("h"))).over(whole))
@@ -106,7 +115,7 @@ def plan(rows: DataFrame, seed: str = "mix", **targets) -> DataFrame:
         taken = taken | F.col(f"t{i}")
     closer = F.abs(F.col("gap") - F.col("size"))
     best = F.min(F.when((~taken) & (F.col("size") > 0) & (closer < F.col("gap")), F.struct(closer.alias("d"), F.col("h").alias("h"))))
-    cut = docs.groupBy("source").agg(*[F.first(c).alias(c) for c in ("edge", "g1", "c1", "g2", "c2", "g3", "c3")], best["h"].alias("star"))
+    cut = docs.groupBy("source").agg(*[F.first(c).alias(c) for c in ("edge", *[f"{x}{i}" for i in PASSES for x in "gc"])], best["h"].alias("star"))
     cut = cut.withColumnRenamed("source", "cs")
     return per.join(cut, F.col("source").eqNullSafe(F.col("cs")), "left").drop("cs")
 
@@ -114,8 +123,8 @@ def plan(rows: DataFrame, seed: str = "mix", **targets) -> DataFrame:
 def copies(h: Column, size: Column, block: Column) -> Column:
     """How often a document is taken, given its source's columns of ``plan``."""
     inside = F.lit(False)
-    for i in (1, 2, 3):
-        inside = inside | ((size > 0) & (size <= F.col(f"g{i}")) & (h <= F.coalesce(F.col(f"c{i}"), F.lit(-1))))
+    for i in PASSES:
+        inside = inside | (_fits(i, size, F.col(f"g{i}")) & (h <= F.coalesce(F.col(f"c{i}"), F.lit(-1))))
     inside = inside | (h == F.coalesce(F.col("star"), F.lit(-1)))
     more = F.when(F.col("rest") <= 0, False).when(F.col("edge").isNull() | (block < F.col("edge")), True).otherwise((block == F.col("edge")) & inside)
     return F.col("full") + more.cast("int")

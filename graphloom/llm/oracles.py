@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from graphloom.llm.merkle import LEAF_WORDS
-from graphloom.llm.mixing import BLOCK_DOCS, BLOCKS, OUTPUT_SHARDS
+from graphloom.llm.mixing import BLOCK_DOCS, BLOCKS, OUTPUT_SHARDS, PASSES
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _LEVELS = (OUTPUT_SHARDS - 1).bit_length()
@@ -12,14 +12,20 @@ _LEVELS = (OUTPUT_SHARDS - 1).bit_length()
 def _fill() -> str:
     """The boundary block's three passes; ``gap0`` is what its source still needs there."""
     sql, taken = "", "false"
-    for i in (1, 2, 3):
-        sql += f""", f{i} AS (SELECT *, NOT ({taken}) AND size <= gap{i - 1} AND size > 0 AS free{i}, sum(CASE WHEN NOT ({taken}) AND size <= gap{i - 1} AND size > 0 THEN size ELSE 0 END) OVER (PARTITION BY src ORDER BY h) AS run{i} FROM {"docs0" if i == 1 else f"e{i - 1}"}),
-c{i}_ AS (SELECT *, coalesce(max(CASE WHEN free{i} AND run{i} <= gap{i - 1} THEN h END) OVER (PARTITION BY src), -1) AS c{i} FROM f{i}),
-e{i} AS (SELECT *, free{i} AND h <= c{i} AS t{i}, gap{i - 1} - coalesce(sum(CASE WHEN free{i} AND h <= c{i} THEN size END) OVER (PARTITION BY src), 0) AS gap{i} FROM c{i}_)"""
+    for i in PASSES:
+        gap, src = f"gap{i - 1}", "docs0" if i == 1 else f"e{i - 1}"
+        free = f"NOT ({taken}) AND {_fits(i, 'size', gap)}"
+        sql += f""", f{i} AS (SELECT *, {free} AS free{i}, sum(CASE WHEN {free} THEN size ELSE 0 END) OVER (PARTITION BY src ORDER BY h) AS run{i} FROM {src}),
+c{i}_ AS (SELECT *, coalesce(max(CASE WHEN free{i} AND run{i} <= {gap} THEN h END) OVER (PARTITION BY src), -1) AS c{i} FROM f{i}),
+e{i} AS (SELECT *, free{i} AND h <= c{i} AS t{i}, {gap} - coalesce(sum(CASE WHEN free{i} AND h <= c{i} THEN size END) OVER (PARTITION BY src), 0) AS gap{i} FROM c{i}_)"""
         taken += f" OR t{i}"
     return sql
 
 
+def _fits(i: int, size: str, gap: str) -> str:
+    return f"({size} > 0 AND {size} <= {gap}{f' AND {size} * 4 > {gap}' if i == 1 else ''})"
+
+
 def _split() -> str:
     """Halving of ranks: node bounds lo..hi, first rank and number of ranks."""
     sql = f", n0 AS (SELECT src, block, pass, rank, 0 AS lo, {OUTPUT_SHARDS} AS hi, 0::BIGINT AS start, n FROM ranked)"
@@ -41,10 +47,10 @@ b AS (SELECT src, block, sum(size) AS words, any_value(rest) AS rest FROM k GROU
 b2 AS (SELECT *, sum(words) OVER (PARTITION BY src ORDER BY block) AS upto FROM b),
 edge AS MATERIALIZED (SELECT src, min(block) AS edge, arg_min(rest - upto + words, block) AS need FROM b2 WHERE upto > rest GROUP BY 1),
 docs0 AS (SELECT k.src, k.size, k.h, edge, need AS gap0 FROM k JOIN edge ON k.src IS NOT DISTINCT FROM edge.src AND k.block = edge.edge){_fill()},
-star AS (SELECT src, arg_min(h, (abs(gap3 - size), h)) AS star FROM e3 WHERE NOT (t1 OR t2 OR t3) AND size > 0 AND abs(gap3 - size) < gap3 GROUP BY 1),
-cut AS MATERIALIZED (SELECT e3.src, any_value(gap0) AS g1, any_value(c1) AS c1, any_value(gap1) AS g2, any_value(c2) AS c2, any_value(gap2) AS g3, any_value(c3) AS c3 FROM e3 GROUP BY 1),
+star AS (SELECT src, arg_min(h, (abs(gap{PASSES[-1]} - size), h)) AS star FROM e{PASSES[-1]} WHERE NOT ({" OR ".join(f"t{i}" for i in PASSES)}) AND size > 0 AND abs(gap{PASSES[-1]} - size) < gap{PASSES[-1]} GROUP BY 1),
+cut AS MATERIALIZED (SELECT src, {", ".join(f"any_value(gap{i - 1}) AS g{i}, any_value(c{i}) AS c{i}" for i in PASSES)} FROM e{PASSES[-1]} GROUP BY 1),
 p AS (SELECT k.doc_id, k.src, k.size, k.h, k.block, k.ss, k.target, k.fu + CASE WHEN k.rest <= 0 THEN 0 WHEN edge.edge IS NULL OR k.block < edge.edge THEN 1 WHEN k.block = edge.edge AND (
-  (k.size > 0 AND k.size <= g1 AND k.h <= c1) OR (k.size > 0 AND k.size <= g2 AND k.h <= c2) OR (k.size > 0 AND k.size <= g3 AND k.h <= c3) OR k.h = coalesce(star, -1)) THEN 1 ELSE 0 END AS times
+  {" OR ".join(f"({_fits(i, 'k.size', f'g{i}')} AND k.h <= c{i})" for i in PASSES)} OR k.h = coalesce(star, -1)) THEN 1 ELSE 0 END AS times
   FROM k LEFT JOIN edge ON k.src IS NOT DISTINCT FROM edge.src LEFT JOIN cut ON k.src IS NOT DISTINCT FROM cut.src LEFT JOIN star ON k.src IS NOT DISTINCT FROM star.src),
 u0 AS (SELECT s.src, block, fu + CASE WHEN rest > 0 AND (edge IS NULL OR block <= edge) THEN 1 ELSE 0 END AS drawn FROM (SELECT *, unnest(range(blocks)) AS block FROM s) s LEFT JOIN edge ON s.src IS NOT DISTINCT FROM edge.src),
 u1 AS (SELECT src, block, unnest(range(1, drawn + 1)) AS pass FROM u0),
