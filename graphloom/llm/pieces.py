@@ -33,7 +33,7 @@ from graphloom.llm.common import map_arrow
 
 SPACE = "▁"
 #: Segments and pairs that a worker remembers before it starts over.
-CACHE = 700_000
+CACHE = 400_000
 
 
 def utf8(text: str) -> str:
@@ -223,6 +223,16 @@ def encoder(model_file: str) -> PieceEncoder:
     return _encoders[model_file]
 
 
+_decoders: dict[str, sentencepiece.SentencePieceProcessor] = {}
+
+
+def decoder(model_file: str) -> sentencepiece.SentencePieceProcessor:
+    """The library alone, for workers that only decode."""
+    if model_file not in _decoders:
+        _decoders[model_file] = sentencepiece.SentencePieceProcessor(model_file=model_file)
+    return _decoders[model_file]
+
+
 def encode_column(docs: DataFrame, model_file: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """``docs`` with ``out_col array<int>`` in place of the text."""
     return _map(docs, model_file, text_col, {out_col: (pa.list_(pa.int32()), "array<int>")}, lambda e, t: (e.encode(t),))
@@ -230,7 +240,17 @@ def encode_column(docs: DataFrame, model_file: str, text_col: str = "text", out_
 
 def decode_column(table: DataFrame, model_file: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
     """The other way round."""
-    return _map(table, model_file, ids_col, {out_col: (pa.string(), "string")}, lambda e, ids: (e.decode(list(ids)) if len(ids) else "",))
+    return _map(table, model_file, ids_col, {out_col: (pa.string(), "string")}, lambda e, ids: (decoder(model_file).decode(list(ids)) if len(ids) else "",), encoding=False)
+
+
+def encode_checked(docs: DataFrame, model_file: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``ids, n_tokens`` and whether decoding gives the text back, in place of the text: one pass, one worker."""
+
+    def run(e: PieceEncoder, text: str) -> tuple:
+        ids = e.encode(text)
+        return ids, len(ids), (e.decode(ids) if ids else "") == text
+
+    return _map(docs, model_file, text_col, {"ids": (pa.list_(pa.int32()), "array<int>"), "n_tokens": (pa.int64(), "long"), "round_trip": (pa.bool_(), "boolean")}, run)
 
 
 def round_trip(docs: DataFrame, model_file: str, text_col: str = "text") -> DataFrame:
@@ -245,14 +265,14 @@ def round_trip(docs: DataFrame, model_file: str, text_col: str = "text") -> Data
     return _map(docs, model_file, text_col, out, run)
 
 
-def _map(df: DataFrame, model_file: str, col: str, out: dict, f) -> DataFrame:
+def _map(df: DataFrame, model_file: str, col: str, out: dict, f, encoding: bool = True) -> DataFrame:
     kept = [c for c in df.columns if c != col and c not in out]
     value = F.col(col) if dict(df.dtypes)[col] != "string" else F.coalesce(F.col(col), F.lit(""))
     src = df.select(*kept, value.alias("__in"))
     schema = ", ".join([f"`{x.name}` {x.dataType.simpleString()}" for x in src.schema.fields[:-1]] + [f"`{k}` {t}" for k, (_, t) in out.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(model_file)
+        e = encoder(model_file) if encoding else None
         for b in batches:
             got = [f(e, x if x is not None else []) for x in b.column(b.num_columns - 1).to_pylist()]
             new = [pa.array([g[i] for g in got], t) for i, (t, _) in enumerate(out.values())]

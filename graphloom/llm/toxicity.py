@@ -105,20 +105,23 @@ def train(rows: list[np.ndarray], labels: np.ndarray, terms: int = TERMS, factor
     if len(y) == 0 or y.min() == y.max():
         p = float(y.mean()) if len(y) else 0.0
         return Model(empty.terms, empty.w, empty.v, 40.0 if p > 0.5 else -40.0)
-    flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    values, inverse = np.unique(flat, return_inverse=True)
-    df = np.bincount(inverse, minlength=len(values))
-    hits = np.bincount(inverse, weights=y[owner], minlength=len(values))
+    # Counts over the whole hash space are of fixed size, unlike the terms of all rows side by side.
+    df, hits = np.zeros(1 << HASH_BITS, np.float32), np.zeros(1 << HASH_BITS, np.float32)
+    for r, label in zip(rows, y, strict=True):
+        df[r] += 1
+        hits[r] += label
+    values = np.flatnonzero(df >= MIN_DF)
+    df, hits = df[values].astype(float), hits[values].astype(float)
     n, pos = len(y), float(y.sum())
     expect = df * pos / n
-    strength = np.where(df >= MIN_DF, (hits - expect) ** 2 / np.maximum(expect * (1 - pos / n) * (1 - df / (n + 1)), 1e-9), -1.0)
+    strength = (hits - expect) ** 2 / np.maximum(expect * (1 - pos / n) * (1 - df / (n + 1)), 1e-9)
     best = np.sort(np.argsort(-strength, kind="stable")[: min(terms, int((strength >= STRENGTH).sum()))])
-    place = np.full(len(values), -1)
-    place[best] = np.arange(len(best))
-    keep = place[inverse] >= 0
+    place = np.full(1 << HASH_BITS, -1, np.int32)
+    place[values[best]] = np.arange(len(best))
     x = np.zeros((n, len(best)), dtype=np.float32)
-    x[owner[keep], place[inverse][keep]] = 1.0
+    for i, r in enumerate(rows):
+        mine = place[r]
+        x[i, mine[mine >= 0]] = 1.0
     rng = np.random.default_rng(seed)
     params = [np.zeros(len(best), np.float32), (rng.standard_normal((len(best), factors)) * 0.01).astype(np.float32), np.array([math.log(pos / (n - pos))], np.float32)]
     m = [np.zeros_like(p) for p in params]
@@ -155,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE,
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(terms, pa.binary())], names=["id", "y", "terms"])
 
     got = map_arrow(texts, run, "id long, y double, terms binary").toPandas().sort_values(["id", "y"], ignore_index=True)
-    return train([np.frombuffer(t, dtype="<i4").astype(np.int64) for t in got["terms"]], got["y"].to_numpy())
+    return train([np.frombuffer(t, dtype="<i4") for t in got["terms"]], got["y"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
