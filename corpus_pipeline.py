@@ -62,10 +62,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, lang, source, ids`` and whether decoding gave the text back."""
     release(spark)
-    model = queries.piece_model()
-    coded = pieces.encode_column(docs.select("doc_id", "lang", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), "text"), model)
-    back = pieces.decode_column(coded.withColumn("again", F.col("ids")), model, ids_col="again", out_col="decoded")
-    return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("sha")).alias("round_trip"))
+    coded = pieces.encode_checked(docs.select("doc_id", "lang", "source", "text"), queries.piece_model())
+    return coded.select("doc_id", "lang", "source", "n_tokens", "ids", "round_trip")
 
 
 STAGES = [
