@@ -37,13 +37,13 @@ RUN_ANCHORS = 1_500_000
 HOT = 256
 NO_ID = (1 << 63) - 1
 REPEATED, OPEN, HOT_BIT = 1, 2, 4  # bits of a verdict
-_ENTRY = np.dtype([("g", "<u8"), ("c", "<u4"), ("doc", "<i8"), ("ord", "<u4"), ("flag", "u1")])
+_ENTRY = np.dtype([("g", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("ord", "<u4"), ("flag", "u1")])
 #: Flags of an entry: its class repeats inside its run, it marks a hot gram, it belongs to one, it is settled.
 _MULTI, _MARK, _PASS, _TOLD = 1, 2, 4, 8
 
 
 def _pack(e: np.ndarray) -> bytes:
-    """Columns apart, small differences, then zstd: about 14 bytes an entry."""
+    """Columns apart, small differences, then zstd."""
     g = np.diff(e["g"], prepend=np.uint64(0))
     lo = int(e["doc"].min())
     doc = e["doc"] - lo
@@ -59,7 +59,7 @@ def _unpack(data: bytes) -> np.ndarray:
     n, width, lo = int.from_bytes(data[:4], "little"), data[4], int.from_bytes(data[5:13], "little", signed=True)
     raw = pa.decompress(data[17:], decompressed_size=int.from_bytes(data[13:17], "little"), codec="zstd", asbytes=True)
     out, at = np.empty(n, _ENTRY), 0
-    for name, kind in (("g", "<u8"), ("c", "<u4"), ("doc", "<u4" if width == 4 else "<i8"), ("ord", "<u4"), ("flag", "u1")):
+    for name, kind in (("g", "<u8"), ("c", "<u8"), ("doc", "<u4" if width == 4 else "<i8"), ("ord", "<u4"), ("flag", "u1")):
         size = np.dtype(kind).itemsize
         column = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel()
         out[name] = np.cumsum(column) if name == "g" else column.astype(np.int64) + lo if name == "doc" else column
@@ -96,7 +96,7 @@ _OUT_SCHEMA = "doc long, ord long, verdict tinyint, g long, c long"
 
 def _rows(doc, ord_, verdict, g=None, c=None) -> pa.RecordBatch:
     none = pa.nulls(len(doc), pa.int64())
-    cols = [pa.array(doc, pa.int64()), pa.array(ord_.astype(np.int64)), pa.array(verdict.astype(np.int8)), none if g is None else pa.array(g.view(np.int64)), none if c is None else pa.array(c.astype(np.int64))]
+    cols = [pa.array(doc, pa.int64()), pa.array(ord_.astype(np.int64)), pa.array(verdict.astype(np.int8)), none if g is None else pa.array(g.view(np.int64)), none if c is None else pa.array(c.view(np.int64))]
     return pa.RecordBatch.from_arrays(cols, names=["doc", "ord", "verdict", "g", "c"])
 
 
@@ -154,7 +154,7 @@ def runs(docs: DataFrame, rule: Rule, buckets: int, hot: int = HOT, run_anchors:
                 if not len(g):
                     continue
                 e = np.empty(len(g), _ENTRY)
-                e["g"], e["c"], e["doc"], e["flag"] = g, (c >> np.uint64(32)).astype(np.uint32), doc, 0
+                e["g"], e["c"], e["doc"], e["flag"] = g, c, doc, 0
                 e["ord"] = np.arange(len(g), dtype=np.uint32) << np.uint32(8) | np.uint32(check_byte(data))
                 held.append(e)
                 n += len(e)
@@ -247,7 +247,7 @@ def picked(rule: Rule, data: bytes, verdicts: np.ndarray, mask: int, bits: int):
     mine = np.unique(mine)
     mine = mine[mine < len(g)]
     if rule.smaller:
-        classes = mix(g) ^ (c >> np.uint64(32))
+        classes = mix(g) ^ c
         mine = np.flatnonzero(np.isin(classes, classes[mine]))
     return g[mine], first[mine], last[mine]
 

@@ -120,6 +120,24 @@ def test_pack_round_trip():
     assert (repeats._unpack(repeats._pack(e)) == e).all()
 
 
+@pytest.mark.parametrize("smaller", [True, False])
+def test_contexts_that_agree_in_half_their_bits_are_not_settled(spark, smaller):
+    class Made(repeats.Rule):
+        """Each text is one anchor of the same gram; contexts differ in their low 32 bits only."""
+
+        def of(self, text):
+            one = np.zeros(1, np.int64)
+            return np.full(1, 7, np.uint64), np.array([0xABCDEF << 32 | int(text)], np.uint64), one, one
+
+    rule = Made(substrings.word_tokens, 13, 6, smaller)
+    docs = spark.createDataFrame([(i, str(i)) for i in range(6)] + [(9, "0")], "doc long, text string").repartition(3)
+    for hot in (2, 256):
+        told = repeats.merge(repeats.runs(docs, rule, 4, hot), rule).collect()
+        hot_rows = spark.createDataFrame([tuple(r) for r in told if r.g is not None], repeats._OUT_SCHEMA)
+        told = [r for r in told if r.g is None] + repeats.settle_hot(hot_rows, rule).collect()
+        assert {r.doc for r in told if r.verdict & repeats.REPEATED} == ({9} if smaller else {0, 9})
+
+
 def test_kept_digest(spark):
     df = spark.createDataFrame([(1, "k" * 10), (2, None)], "doc_id long, text string")
     assert {bytes(r.kept) for r in suffixes.remove_repeats(df).collect()} == {b"k" * 10, b""}
