@@ -15,11 +15,13 @@
 document of a smaller id has it, otherwise if it starts anywhere else.
 Nothing is sampled or capped: an anchor is dropped only when no other anchor
 has its gram.
+
+Rows are told apart by ``(doc, body)``: their id, ``NO_ID`` where it is null,
+and the XXH64 of their text. Rows equal in both share all verdicts.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,7 +39,7 @@ RUN_ANCHORS = 1_500_000
 HOT = 256
 NO_ID = (1 << 63) - 1
 REPEATED, OPEN, HOT_BIT = 1, 2, 4  # bits of a verdict
-_ENTRY = np.dtype([("g", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("ord", "<u4"), ("flag", "u1")])
+_ENTRY = np.dtype([("g", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("body", "<i8"), ("ord", "<u4"), ("flag", "u1")])
 #: Flags of an entry: its class repeats inside its run, it marks a hot gram, it belongs to one, it is settled.
 _MULTI, _MARK, _PASS, _TOLD = 1, 2, 4, 8
 
@@ -48,9 +50,9 @@ def _pack(e: np.ndarray) -> bytes:
     lo = int(e["doc"].min())
     doc = e["doc"] - lo
     doc = doc.astype("<u4") if int(doc.max()) < 1 << 32 else doc
-    raw = b"".join(np.ascontiguousarray(x).tobytes() for x in (g, e["c"], doc, e["ord"], e["flag"]))
+    raw = b"".join(np.ascontiguousarray(x).tobytes() for x in (g, e["c"], doc, e["body"], e["ord"], e["flag"]))
     # Bytes of equal significance together compress better.
-    parts = [np.ascontiguousarray(x).view(np.uint8).reshape(len(e), -1).T.tobytes() for x in (g, e["c"], doc, e["ord"], e["flag"])]
+    parts = [np.ascontiguousarray(x).view(np.uint8).reshape(len(e), -1).T.tobytes() for x in (g, e["c"], doc, e["body"], e["ord"], e["flag"])]
     packed = pa.compress(b"".join(parts), codec="zstd", asbytes=True)
     return b"".join([len(e).to_bytes(4, "little"), bytes([doc.itemsize]), lo.to_bytes(8, "little", signed=True), len(raw).to_bytes(4, "little"), packed])
 
@@ -59,7 +61,7 @@ def _unpack(data: bytes) -> np.ndarray:
     n, width, lo = int.from_bytes(data[:4], "little"), data[4], int.from_bytes(data[5:13], "little", signed=True)
     raw = pa.decompress(data[17:], decompressed_size=int.from_bytes(data[13:17], "little"), codec="zstd", asbytes=True)
     out, at = np.empty(n, _ENTRY), 0
-    for name, kind in (("g", "<u8"), ("c", "<u8"), ("doc", "<u4" if width == 4 else "<i8"), ("ord", "<u4"), ("flag", "u1")):
+    for name, kind in (("g", "<u8"), ("c", "<u8"), ("doc", "<u4" if width == 4 else "<i8"), ("body", "<i8"), ("ord", "<u4"), ("flag", "u1")):
         size = np.dtype(kind).itemsize
         column = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel()
         out[name] = np.cumsum(column) if name == "g" else column.astype(np.int64) + lo if name == "doc" else column
@@ -67,9 +69,9 @@ def _unpack(data: bytes) -> np.ndarray:
     return out
 
 
-def check_byte(text: bytes) -> int:
-    """Tells rows of one id and different texts apart."""
-    return zlib.crc32(text) & 0xFF
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``doc`` never null and ``body``."""
+    return docs.withColumn("doc", F.coalesce(F.col("doc").cast("long"), F.lit(NO_ID))).withColumn("body", F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
 def _starts(*columns: np.ndarray) -> np.ndarray:
@@ -91,31 +93,33 @@ class Rule:
         return anchors(Hashes(self.tokens(text)), self.width, self.gram)
 
 
-_OUT_SCHEMA = "doc long, ord long, verdict tinyint, g long, c long"
+_OUT_SCHEMA = "doc long, body long, ord long, verdict tinyint, g long, c long"
 
 
-def _rows(doc, ord_, verdict, g=None, c=None) -> pa.RecordBatch:
+def _rows(doc, body, ord_, verdict, g=None, c=None) -> pa.RecordBatch:
     none = pa.nulls(len(doc), pa.int64())
-    cols = [pa.array(doc, pa.int64()), pa.array(ord_.astype(np.int64)), pa.array(verdict.astype(np.int8)), none if g is None else pa.array(g.view(np.int64)), none if c is None else pa.array(c.view(np.int64))]
-    return pa.RecordBatch.from_arrays(cols, names=["doc", "ord", "verdict", "g", "c"])
+    cols = [pa.array(doc, pa.int64()), pa.array(body, pa.int64()), pa.array(ord_.astype(np.int64)), pa.array(verdict.astype(np.int8)), none if g is None else pa.array(g.view(np.int64)), none if c is None else pa.array(c.view(np.int64))]
+    return pa.RecordBatch.from_arrays(cols, names=["doc", "body", "ord", "verdict", "g", "c"])
 
 
 def _close_run(e: np.ndarray, rule: Rule, buckets: int, hot: int, salt: int) -> Iterator[pa.RecordBatch]:
-    e = e[np.lexsort((e["ord"], e["doc"], e["c"], e["g"]))]
+    e = e[np.lexsort((e["ord"], e["body"], e["doc"], e["c"], e["g"]))]
     new = _starts(e["g"], e["c"])
     at = np.flatnonzero(new)
     size = np.diff(np.append(at, len(e)))
     head = np.repeat(at, size)  # the class's first entry: the smallest id
-    if rule.smaller:  # a document's anchors of one class share a verdict, see ``picked``
-        settled = (e["doc"] > e["doc"][head]) & _starts(e["g"], e["c"], e["doc"])
+    own = _starts(e["g"], e["c"], e["doc"], e["body"])
+    if rule.smaller:  # a text's anchors of one class share a verdict, see ``picked``
+        larger = e["doc"] > e["doc"][head]
+        settled, kept = larger & own, ~larger & own  # each text of the smallest id is still in doubt
     else:
-        settled = np.repeat(size > 1, size)
+        settled, kept = np.repeat(size > 1, size) & _starts(e["g"], e["c"], e["doc"], e["body"], e["ord"]), new
     told = e[settled].copy()
     told["flag"] = _TOLD
     chunks = [told[at : at + 100_000] for at in range(0, len(told), 100_000)]
     yield _payloads([(salt + i) % buckets for i in range(len(chunks))], chunks)
     e["flag"][at[size > 1]] |= _MULTI
-    e = e[new]
+    e = e[kept]
     if not len(e):
         return
     group = np.cumsum(_starts(e["g"])) - 1
@@ -148,14 +152,14 @@ def runs(docs: DataFrame, rule: Rule, buckets: int, hot: int = HOT, run_anchors:
         held: list[np.ndarray] = []
         n = salt = 0
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for doc, body, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 data = text.as_buffer().to_pybytes()
                 g, c, first, _ = rule.of(data)
                 if not len(g):
                     continue
                 e = np.empty(len(g), _ENTRY)
-                e["g"], e["c"], e["doc"], e["flag"] = g, c, doc, 0
-                e["ord"] = np.arange(len(g), dtype=np.uint32) << np.uint32(8) | np.uint32(check_byte(data))
+                e["g"], e["c"], e["doc"], e["body"], e["flag"] = g, c, doc, body, 0
+                e["ord"] = np.arange(len(g), dtype=np.uint32)
                 held.append(e)
                 n += len(e)
                 if n >= run_anchors:
@@ -164,14 +168,14 @@ def runs(docs: DataFrame, rule: Rule, buckets: int, hot: int = HOT, run_anchors:
         if held:
             yield from _close_run(np.concatenate(held), rule, buckets, hot, salt)
 
-    return map_arrow(docs.select(F.coalesce(F.col("doc").cast("long"), F.lit(NO_ID)).alias("doc"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")), run, "bucket int, payload binary")
+    return map_arrow(keyed(docs.select("doc", "text")).select("doc", "body", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")), run, "bucket int, payload binary")
 
 
 def _merge_bucket(payloads: list[bytes], rule: Rule) -> Iterator[pa.RecordBatch]:
     e = np.concatenate([_unpack(p) for p in payloads])
     told = (e["flag"] & _TOLD) > 0
     if told.any():
-        yield _rows(e["doc"][told], e["ord"][told], np.full(int(told.sum()), REPEATED))
+        yield _rows(e["doc"][told], e["body"][told], e["ord"][told], np.full(int(told.sum()), REPEATED))
         e = e[~told]
     marked = np.unique(e["g"][(e["flag"] & _MARK) > 0])
     e = e[(e["flag"] & _MARK) == 0]
@@ -180,11 +184,11 @@ def _merge_bucket(payloads: list[bytes], rule: Rule) -> Iterator[pa.RecordBatch]
         away |= np.isin(e["g"], marked)
     if away.any():
         x = e[away]
-        yield _rows(x["doc"], x["ord"], (x["flag"] & _MULTI) * REPEATED, x["g"], x["c"])
+        yield _rows(x["doc"], x["body"], x["ord"], (x["flag"] & _MULTI) * REPEATED, x["g"], x["c"])
         e = e[~away]
     if not len(e):
         return
-    e = e[np.lexsort((e["ord"], e["doc"], e["c"], e["g"]))]
+    e = e[np.lexsort((e["ord"], e["body"], e["doc"], e["c"], e["g"]))]
     new_g, new = _starts(e["g"]), _starts(e["g"], e["c"])
     at = np.flatnonzero(new)
     size = np.diff(np.append(at, len(e)))
@@ -194,13 +198,13 @@ def _merge_bucket(payloads: list[bytes], rule: Rule) -> Iterator[pa.RecordBatch]
     if rule.smaller:
         smallest = e["doc"][head]
         repeated = e["doc"] > smallest
-        open_ &= ~repeated  # of a class only the smallest id is still in doubt, and it stands for the others
+        open_ &= ~repeated  # of a class only the texts of the smallest id are still in doubt, and they stand for the others
     else:
         repeated = np.repeat((size > 1) | ((e["flag"][at] & _MULTI) > 0), size)
         open_ &= new  # the first of a class stands for it
     told = repeated | open_
     if told.any():
-        yield _rows(e["doc"][told], e["ord"][told], (repeated * REPEATED + open_ * OPEN)[told])
+        yield _rows(e["doc"][told], e["body"][told], e["ord"][told], (repeated * REPEATED + open_ * OPEN)[told])
 
 
 def merge(payloads: DataFrame, rule: Rule) -> DataFrame:
@@ -222,51 +226,50 @@ def merge(payloads: DataFrame, rule: Rule) -> DataFrame:
 
 
 def settle_hot(hot: DataFrame, rule: Rule) -> DataFrame:
-    """Verdicts of entries of hot grams ``(doc, ord, verdict, g, c)``; these grams have many contexts, so all stay open."""
-    classes = hot.groupBy("g", "c").agg(F.min("doc").alias("low"), F.count(F.lit(1)).alias("n"), F.max("verdict").alias("multi"), F.min(F.struct("doc", "ord")).alias("first"))
-    both = hot.select("doc", "ord", "g", "c").join(classes, ["g", "c"])
+    """Verdicts of entries of hot grams ``(doc, body, ord, verdict, g, c)``; these grams have many contexts, so all stay open."""
+    classes = hot.groupBy("g", "c").agg(F.min("doc").alias("low"), F.count(F.lit(1)).alias("n"), F.max("verdict").alias("multi"), F.min(F.struct("doc", "body", "ord")).alias("first"))
+    both = hot.select("doc", "body", "ord", "g", "c").join(classes, ["g", "c"])
     if rule.smaller:
         repeated, open_ = F.col("doc") > F.col("low"), F.col("doc") == F.col("low")
     else:
-        repeated, open_ = (F.col("n") > 1) | (F.col("multi") > 0), F.struct("doc", "ord") == F.col("first")
-    return both.select("doc", "ord", (repeated.cast("int") * REPEATED + open_.cast("int") * (OPEN + HOT_BIT)).cast("tinyint").alias("verdict")).where("verdict > 0")
+        repeated, open_ = (F.col("n") > 1) | (F.col("multi") > 0), F.struct("doc", "body", "ord") == F.col("first")
+    return both.select("doc", "body", "ord", (repeated.cast("int") * REPEATED + open_.cast("int") * (OPEN + HOT_BIT)).cast("tinyint").alias("verdict")).where("verdict > 0")
 
 
 def by_document(verdicts: DataFrame) -> DataFrame:
-    """``(doc, verdicts array<long>)``: ordinal, check byte and bits of each verdict as one number."""
-    return verdicts.groupBy("doc").agg(F.collect_list(F.col("ord") * 8 + F.col("verdict")).alias("verdicts"))
+    """``(doc, body, verdicts array<long>)``: ordinal and bits of each verdict as one number, once for equal rows."""
+    return verdicts.groupBy("doc", "body").agg(F.collect_set(F.col("ord") * 8 + F.col("verdict")).alias("verdicts"))
 
 
 def picked(rule: Rule, data: bytes, verdicts: np.ndarray, mask: int, bits: int):
     """The anchors of a text whose verdict, of the bits in ``mask``, has just ``bits``: ``(gram, first, last)``."""
-    mine = verdicts[((verdicts >> 3 & 0xFF) == check_byte(data)) & ((verdicts & mask) == bits)] >> 11
+    mine = verdicts[(verdicts & mask) == bits] >> 3
     if not len(mine):
         none = np.empty(0, np.int64)
         return none.view(np.uint64), none, none
     g, c, first, last = rule.of(data)
     mine = np.unique(mine)
-    mine = mine[mine < len(g)]
     if rule.smaller:
         classes = mix(g) ^ c
         mine = np.flatnonzero(np.isin(classes, classes[mine]))
     return g[mine], first[mine], last[mine]
 
 
-_OPEN_SCHEMA = "g long, h long, doc long, at long, context binary"
+_OPEN_SCHEMA = "g long, h long, doc long, body long, at long, context binary"
 
 
 def open_anchors(docs: DataFrame, rule: Rule, contexts: bool) -> DataFrame:
-    """What open anchors have to be compared by, from ``(doc, text, verdicts)``.
+    """What open anchors have to be compared by, from ``(doc, body, text, verdicts)``.
 
-    Rows ``(g, h, doc, at)`` for each window, or with ``contexts``, except for
-    hot grams, ``(g, doc, at, context)`` for each anchor. ``at`` is the place
-    of the (first) window with the check byte below it.
+    Rows ``(g, h, doc, body, at)`` for each window, or with ``contexts``, except
+    for hot grams, ``(g, doc, body, at, context)`` for each anchor. ``at`` is the
+    place of the (first) window.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for doc, text, v in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+            for doc, body, text, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 v = v.values.to_numpy()
                 if not (v & OPEN).any():
                     continue
@@ -276,27 +279,27 @@ def open_anchors(docs: DataFrame, rule: Rule, contexts: bool) -> DataFrame:
                 if len(g):
                     at = spread(first, last)
                     h = Hashes(rule.tokens(data)).some(at, at + rule.width)
-                    cols = [np.repeat(g, last - first + 1).view(np.int64), h.view(np.int64), np.full(len(at), doc), at << 8 | check_byte(data)]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.nulls(len(at), pa.binary())], names=["g", "h", "doc", "at", "context"])
+                    cols = [np.repeat(g, last - first + 1).view(np.int64), h.view(np.int64), np.full(len(at), doc), np.full(len(at), body), at]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.nulls(len(at), pa.binary())], names=["g", "h", "doc", "body", "at", "context"])
                 if contexts:
                     g, first, last = picked(rule, data, v, mask, OPEN)
-                    out += [(int(x), None, doc, int(a) << 8 | check_byte(data), data[a : z + rule.width]) for x, a, z in zip(g.view(np.int64), first, last, strict=True)]
+                    out += [(int(x), None, doc, body, int(a), data[a : z + rule.width]) for x, a, z in zip(g.view(np.int64), first, last, strict=True)]
             if out:
-                cols = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["g", "h", "doc", "at", "context"])
+                cols = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["g", "h", "doc", "body", "at", "context"])
 
     return map_arrow(docs, run, _OPEN_SCHEMA)
 
 
 def settle_windows(rows: DataFrame, rule: Rule) -> DataFrame:
-    """``(doc, at, n)``: the windows among ``(g, h, doc, at)`` that repeat, as stretches of n = 1."""
+    """``(doc, body, at, n)``: the windows among ``(g, h, doc, body, at)`` that repeat, as stretches of n = 1."""
     same = rows.groupBy("g", "h").agg(F.min("doc").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
     hit = F.col("doc") > F.col("low") if rule.smaller else F.lit(True)
-    return rows.join(same, ["g", "h"]).where(hit).select("doc", "at", F.lit(1).cast("long").alias("n"))
+    return rows.join(same, ["g", "h"]).where(hit).select("doc", "body", "at", F.lit(1).cast("long").alias("n"))
 
 
 def compare_contexts(rows: DataFrame, rule: Rule) -> DataFrame:
-    """``(doc, at, n)``: stretches of windows that repeat among byte contexts ``(g, doc, at, context)``.
+    """``(doc, body, at, n)``: stretches of windows that repeat among byte contexts ``(g, doc, body, at, context)``.
 
     For rules without ``smaller``, and grams with few contexts: those of a gram
     meet in one task.
@@ -309,7 +312,7 @@ def compare_contexts(rows: DataFrame, rule: Rule) -> DataFrame:
     def settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         if len(held) < 2:
             return
-        h = [hashed(x[3]) for x in held]
+        h = [hashed(x[4]) for x in held]
         size = np.array([len(x) for x in h])
         owner = np.repeat(np.arange(len(held)), size)
         key = np.concatenate(h) ^ mix(np.array([x[0] for x in held], dtype=np.int64).view(np.uint64))[owner]
@@ -322,19 +325,19 @@ def compare_contexts(rows: DataFrame, rule: Rule) -> DataFrame:
         first, own = hit[cut], owner[hit[cut]]
         n = np.diff(np.append(cut, len(hit)))
         offset = first - (np.cumsum(size) - size)[own]
-        doc, at = np.array([x[1] for x in held]), np.array([x[2] for x in held])
-        yield pa.RecordBatch.from_arrays([pa.array(doc[own]), pa.array(at[own] + (offset << 8)), pa.array(n.astype(np.int64))], names=["doc", "at", "n"])
+        doc, body, at = (np.array([x[i] for x in held]) for i in (1, 2, 3))
+        yield pa.RecordBatch.from_arrays([pa.array(doc[own]), pa.array(body[own]), pa.array(at[own] + offset), pa.array(n.astype(np.int64))], names=["doc", "body", "at", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: list[tuple] = []  # whole groups
         current: list[tuple] = []
         gram, windows = None, 0
         for b in batches:
-            for row in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
+            for row in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
                 if row[0] != gram:
                     if len(current) > 1:
                         ready += current
-                        windows += sum(len(x[3]) for x in current)
+                        windows += sum(len(x[4]) for x in current)
                     gram, current = row[0], []
                     if windows >= limit:
                         yield from settle(ready)
@@ -342,47 +345,45 @@ def compare_contexts(rows: DataFrame, rule: Rule) -> DataFrame:
                 current.append(row)
         yield from settle(ready + current)
 
-    return map_arrow(rows.select("g", "doc", "at", "context").repartition("g").sortWithinPartitions("g"), run, "doc long, at long, n long")
+    return map_arrow(rows.select("g", "doc", "body", "at", "context").repartition("g").sortWithinPartitions("g"), run, "doc long, body long, at long, n long")
 
 
 def context_windows(rows: DataFrame, rule: Rule) -> DataFrame:
-    """``(g, h, doc, at)`` of every window of contexts, where the rows lie."""
+    """``(g, h, doc, body, at)`` of every window of contexts, where the rows lie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for g, doc, at, context in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
+            for g, doc, body, at, context in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
                 h = Hashes(rule.tokens(context)).every(rule.width)
                 n = len(h)
-                cols = [np.full(n, g), h.view(np.int64), np.full(n, doc), at + (np.arange(n, dtype=np.int64) << 8)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=["g", "h", "doc", "at"])
+                cols = [np.full(n, g), h.view(np.int64), np.full(n, doc), np.full(n, body), at + np.arange(n, dtype=np.int64)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=["g", "h", "doc", "body", "at"])
 
-    return map_arrow(rows.select("g", "doc", "at", "context"), run, "g long, h long, doc long, at long")
+    return map_arrow(rows.select("g", "doc", "body", "at", "context"), run, "g long, h long, doc long, body long, at long")
 
 
 def marked_tokens(rule: Rule, data: bytes, n: int, verdicts: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Which of a text's ``n`` tokens a repeated window covers."""
     _, first, last = picked(rule, data, verdicts, REPEATED, REPEATED)
-    mine = (at & 0xFF) == check_byte(data)
-    a = at[mine] >> 8
-    return covered(n, np.concatenate([first, a]), np.concatenate([last, a + length[mine] - 1]), rule.width)
+    return covered(n, np.concatenate([first, at]), np.concatenate([last, at + length - 1]), rule.width)
 
 
 def resolve(docs: DataFrame, rule: Rule, contexts: bool, hot: int = HOT, run_anchors: int = RUN_ANCHORS, group: int = 4096, payloads: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(docs with their key, verdicts by doc, stretches by doc)``, for ``marked_tokens``.
+    """``(docs with their key, verdicts by key, stretches by key)``, for ``marked_tokens``.
 
     ``docs`` is ``(doc, text, ...)``; ``payloads`` are its runs where they exist already.
     """
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.withColumn("doc", F.coalesce(F.col("doc").cast("long"), F.lit(NO_ID)))
+    docs = keyed(docs)
     if payloads is None:
         payloads = runs(docs, rule, buckets, hot, run_anchors)
     told = materialize(merge(payloads, rule), "repeats-told")
-    verdicts = told.where("g IS NULL").select("doc", "ord", "verdict").unionByName(settle_hot(told.where("g IS NOT NULL"), rule))
+    verdicts = told.where("g IS NULL").select("doc", "body", "ord", "verdict").unionByName(settle_hot(told.where("g IS NOT NULL"), rule))
     verdicts = materialize(by_document(verdicts), "repeats-verdicts")
     doubtful = verdicts.where(F.exists("verdicts", lambda v: v.bitwiseAND(OPEN) > 0))
-    text = docs.select("doc", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
-    rows = materialize(open_anchors(text.join(doubtful, "doc"), rule, contexts), "repeats-open")
-    windows = rows.where("h IS NOT NULL").select("g", "h", "doc", "at")
+    text = docs.select("doc", "body", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
+    rows = materialize(open_anchors(text.join(doubtful, ["doc", "body"]), rule, contexts), "repeats-open")
+    windows = rows.where("h IS NOT NULL").select("g", "h", "doc", "body", "at")
     if contexts:
         # A gram with many contexts is compared by window, so that no task holds all of them.
         some = rows.where("h IS NULL")
@@ -391,13 +392,13 @@ def resolve(docs: DataFrame, rule: Rule, contexts: bool, hot: int = HOT, run_anc
         stretches = compare_contexts(some.join(many, "g", "left_anti"), rule).unionByName(settle_windows(windows, rule))
     else:
         stretches = settle_windows(windows, rule)
-    stretches = stretches.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("stretches"))
+    stretches = stretches.groupBy("doc", "body").agg(F.collect_set(F.struct("at", "n")).alias("stretches"))
     return docs, verdicts, stretches
 
 
 def with_marks(docs: DataFrame, verdicts: DataFrame, stretches: DataFrame) -> DataFrame:
-    """``docs`` with both lists, null where a document has none; all three meet in one shuffle by ``doc``."""
-    return docs.join(verdicts, "doc", "left").join(stretches, "doc", "left")
+    """``docs`` with both lists, null where a document has none; all three meet in one shuffle by key."""
+    return docs.join(verdicts, ["doc", "body"], "left").join(stretches, ["doc", "body"], "left")
 
 
 def lists_of(verdicts, stretches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

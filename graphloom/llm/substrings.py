@@ -66,7 +66,7 @@ def _apply(keyed: DataFrame, verdicts: DataFrame, stretches: DataFrame, r: repea
     return map_arrow(rows, run, schema)
 
 
-_OWN = ("doc", "text", "verdicts", "stretches", "n_words", "n_removed", "kept")
+_OWN = ("doc", "body", "text", "verdicts", "stretches", "n_words", "n_removed", "kept")
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", **tuning) -> DataFrame:
@@ -101,7 +101,7 @@ class FingerprintIndex:
         both = src.select("doc", "text")
         if history is not None:
             both = both.unionByName(history.select(F.col("doc_id").alias("doc"), "text"))
-        keyed = src.withColumn("doc", F.coalesce(F.col("doc").cast("long"), F.lit(repeats.NO_ID)))
+        keyed = repeats.keyed(src)
         name = f"run-{uuid.uuid4().hex}"
         repeats.runs(src, self.rule, self.buckets).write.parquet(f"{self.path}/{name}")
         self.names.append(name)
@@ -119,7 +119,7 @@ class FingerprintIndex:
 
             def close() -> pa.RecordBatch:
                 e = np.concatenate([repeats._unpack(p) for p in held])
-                e = e[np.lexsort((e["ord"], e["doc"], e["c"], e["g"]))]
+                e = e[np.lexsort((e["ord"], e["body"], e["doc"], e["c"], e["g"]))]
                 return repeats._payloads([at], [e])
 
             for b in batches:

@@ -44,7 +44,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     ``kept`` is the bytes that stay, concatenated; a cut may fall inside a
     character. Other columns pass through.
     """
-    own = ("doc", "text", "verdicts", "stretches", "n_bytes", "n_removed", "n_spans", "kept", "spans")
+    own = ("doc", "body", "text", "verdicts", "stretches", "n_bytes", "n_removed", "n_spans", "kept", "spans")
     kept_cols = [c for c in docs.columns if c not in (text_col, *own)]
     r = rule(width)
     src = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), *kept_cols)

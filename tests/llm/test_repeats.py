@@ -138,6 +138,24 @@ def test_contexts_that_agree_in_half_their_bits_are_not_settled(spark, smaller):
         assert {r.doc for r in told if r.verdict & repeats.REPEATED} == ({9} if smaller else {0, 9})
 
 
+@pytest.mark.parametrize("tuning", [{}, {"hot": 2, "run_anchors": 30, "group": 2}])
+def test_many_texts_of_one_or_no_id_keep_their_own_words(spark, tuning):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passage, other = text(80), text(80)
+    rows = [(None, text(40) + (" " + passage if i % 3 == 0 else "") + " " + text(40)) for i in range(300)]
+    rows += [(7, text(30) + " " + (other if i % 2 else passage)) for i in range(40)]
+    rows += [(5, other + " " + text(50)), (9, text(60) + " " + passage)]
+    rows += [(None, rows[0][1])] * 20
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    n = {} if not tuning else {k: v for k, v in tuning.items() if k != "group"}
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept.encode()) for r in substrings.remove_repeats(df, **n).collect()]
+    assert sorted(got, key=key) == sorted(plain_words(rows, 13), key=key)
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(df, **tuning).collect()]
+    assert sorted(got, key=key) == sorted(plain_bytes(rows, 400), key=key)
+
+
 def test_kept_digest(spark):
     df = spark.createDataFrame([(1, "k" * 10), (2, None)], "doc_id long, text string")
     assert {bytes(r.kept) for r in suffixes.remove_repeats(df).collect()} == {b"k" * 10, b""}
