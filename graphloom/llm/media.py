@@ -5,6 +5,9 @@
 returns the samples and their landmarks. Both are row-wise over Arrow batches:
 no shuffle, memory bounded by one batch.
 
+The end is filled with silence to a whole number of hops, so every sample is in
+a frame. A payload of one frame has no later one: its peaks are paired within.
+
 Nulls and empty texts are 64 zero bytes. Equal texts give equal files and
 landmarks. Extra columns pass through ``write_wav`` untouched.
 """
@@ -56,15 +59,14 @@ def from_wav(media: bytes) -> tuple[bytes, int]:
         return r.readframes(r.getnframes()), r.getframerate()
 
 
-_window = np.hanning(FRAME).astype(np.float32)
+_window = np.hanning(FRAME + 2)[1:-1].astype(np.float32)  # no weight is 0
 _CHUNK = 2048  # frames of one transform
 
 
 def spectrum_peaks(samples: np.ndarray) -> np.ndarray:
     """frames x bands: each band's strongest bin, -1 where the frame is silent there."""
     x = samples.astype(np.float32) - 128.0
-    if len(x) < FRAME:
-        x = np.pad(x, (0, FRAME - len(x)))
+    x = np.pad(x, (0, FRAME + max(0, -(-(len(x) - FRAME) // HOP)) * HOP - len(x)))
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     peaks = np.empty((len(frames), len(BANDS)), dtype=np.int64)
     for at in range(0, len(frames), _CHUNK):
@@ -78,9 +80,16 @@ def spectrum_peaks(samples: np.ndarray) -> np.ndarray:
 
 
 def landmarks(samples: np.ndarray) -> np.ndarray:
-    """Time-coded pairs of peaks as int64: frame << 24 | bin << 16 | later bin << 8 | frames between."""
+    """Time-coded pairs of peaks as int64: frame << 24 | bin << 16 | later bin << 8 | frames between.
+
+    In a lone frame a peak is paired with those of higher bands, 0 frames on.
+    """
     peaks = spectrum_peaks(samples)
     found = []
+    if len(peaks) == 1:
+        lo, hi = np.triu_indices(len(BANDS), 1)
+        a, b = peaks[0, lo], peaks[0, hi]
+        found.append(((a << 16) | (b << 8))[(a >= 0) & (b >= 0)])
     for dt in range(1, FAN_OUT + 1):
         if len(peaks) > dt:
             a, b = peaks[:-dt], peaks[dt:]

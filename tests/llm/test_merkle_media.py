@@ -92,6 +92,23 @@ def test_stored_bytes_are_a_wav_file():
         assert (w.getnchannels(), w.getsampwidth(), w.getnframes()) == (1, 1, 64) and w.readframes(64) == b"abc" + bytes(61)
 
 
+def test_the_end_of_every_payload_counts():
+    rng = np.random.default_rng(4)
+    for n in (64, 256, 320, 384, 448, 64 * 21):
+        base = rng.integers(97, 123, n).astype(np.uint8)
+        other = base.copy()
+        other[-64:] = rng.integers(97, 123, 64)
+        assert media.landmarks(base).tolist() != media.landmarks(other).tolist()
+
+
+def test_one_frame_has_landmarks(spark):
+    rng = np.random.default_rng(6)
+    texts = ["".join(map(chr, rng.integers(97, 123, int(n)))) for n in rng.integers(40, 321, 60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [tuple(r.landmarks) for r in media.read_wav(media.write_wav(df)).collect()]
+    assert all(got) and len(set(got)) == len(texts)
+
+
 def test_peaks_find_a_tone():
     t = np.arange(8000)
     tone = (128 + 100 * np.sin(2 * np.pi * 1000 * t / 8000)).astype(np.uint8)
