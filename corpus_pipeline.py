@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import mixing, pieces, queries, simhash, suffixes, toxicity
-from graphloom.session import _delete_path, release, shared_dir
+from graphloom.session import _delete_path, materialize, release, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -32,12 +32,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the smallest doc_id; rows without an id stay."""
+    """Of each SimHash component the document with the smallest doc_id, or if none has an id, one text of it."""
     release(spark)
-    found = simhash.near_duplicates(docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id").select(*COLUMNS).dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+    docs = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("body"))
+    kept = materialize(simhash.representatives(docs), "near-copies-kept")
+    named = docs.join(kept.where("doc_id IS NOT NULL").select("doc_id"), "doc_id").dropDuplicates(["doc_id"])
+    nameless = docs.where("doc_id IS NULL").join(kept.where("doc_id IS NULL").select("body"), "body").dropDuplicates(["body"])
+    return named.select(*COLUMNS).unionByName(nameless.select(*COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -213,6 +213,26 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET,
     return fps.join(labels, "fp").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def representatives(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, shingle: int = SHINGLE) -> DataFrame:
+    """``(doc_id, body)``, one row for each component of ``docs(doc_id, body, text)``.
+
+    It is the smallest doc_id, or where no row of a component has one, the
+    smallest ``body``, a long that tells texts without an id apart.
+    """
+    named = fingerprints(docs.where("doc_id IS NOT NULL"), shingle).select("doc_id", F.lit(None).cast("long").alias("body"), "fp")
+    nameless = fingerprints(docs.where("doc_id IS NULL"), shingle, "body").select(F.lit(None).cast("long").alias("doc_id"), F.col("doc_id").alias("body"), "fp")
+    fps = materialize(named.unionByName(nameless), "simhash-fps")
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("body").alias("body")), "simhash-nodes")
+    edges = link(nodes.select("fp", F.col("fp").alias("doc")), radius, bucket)
+    own = fps.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("u"), F.max("fp").alias("w")).where("u <> w").select("doc_id", "u")
+    if not own.isEmpty():
+        edges = edges.unionByName(fps.join(own, "doc_id").select("u", F.col("fp").alias("v")).where("u <> v").distinct())
+    comps = connected_components(edges)
+    labels = nodes.join(comps, nodes["fp"] == comps["node"], "left").select("doc_id", "body", F.coalesce("component", "fp").alias("component"))
+    best = labels.groupBy("component").agg(F.min("doc_id").alias("doc_id"), F.min("body").alias("body"))
+    return best.select("doc_id", F.when(F.col("doc_id").isNull(), F.col("body")).alias("body"))
+
+
 def hex16(fp):
     """A fingerprint's 16 lower-case hex digits."""
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

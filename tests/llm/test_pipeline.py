@@ -48,6 +48,15 @@ def test_one_of_each_near_copy_stays(stages):
     assert sorted(stages[2]) == [r for r, c in zip(rows, comp, strict=True) if r[0] == c]
 
 
+def test_copies_without_an_id_go(spark):
+    far = [" ".join(f"{w}{i}" for i in range(60)) for w in ("red", "sea", "oak", "ink")]
+    rows = [(None, far[0])] * 30 + [(None, far[1])] * 2 + [(4, far[1]), (6, far[1]), (None, far[2]), (5, far[3]), (5, far[2]), (None, None), (None, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = P.drop_near_copies(spark, df, SF).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got if r.doc_id != 5) == [(0, ""), (0, far[0]), (4, far[1])]
+    assert [r.text in far[2:] for r in got if r.doc_id == 5] == [True]
+
+
 def test_repeats_go(stages):
     want = {i: kept.decode(errors="ignore") for i, _, _, _, kept in plain_bytes([(r[0], r[1]) for r in stages[2]], 400)}
     assert {r[0]: r[1] for r in stages[3]} == want and all(r[4] == len(r[1]) for r in stages[3])
