@@ -15,7 +15,7 @@ import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
-_CHUNK = 1 << 22  # windows whose anchors are found at once; places in it fit 24 bits
+_CHUNK = 1 << 20  # windows whose anchors are found at once; places in it fit 24 bits
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 #: One 64-bit value for each byte.
 BYTE_VALUES = np.random.default_rng(20240607).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -66,16 +66,12 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def anchors(h: Hashes, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(gram hash, context hash, first, last)`` of each anchor of a document.
-
-    The context is all that the anchor's windows cover: two anchors with equal
-    grams and contexts own equal windows.
-    """
+def anchor_places(h: Hashes, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(at, first, last)`` of each anchor of a document: where its gram starts, and its windows."""
     total = h.n - width + 1
     if total <= 0:
         none = np.empty(0, np.int64)
-        return none.view(np.uint64), none.view(np.uint64), none, none
+        return none, none, none
     w, place = width - gram + 1, np.uint64(0xFFFFFF)
     firsts, at = [], []
     for lo in range(0, total, _CHUNK):
@@ -86,7 +82,18 @@ def anchors(h: Hashes, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, n
         firsts.append(new + lo)
         at.append(best[new] + lo)
     first, at = np.concatenate(firsts), np.concatenate(at)
-    last = np.concatenate([first[1:], [total]]) - 1
+    return at, first, np.concatenate([first[1:], [total]]) - 1
+
+
+def anchors(h: Hashes, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(gram hash, context hash, first, last)`` of each anchor of a document.
+
+    The context is all that the anchor's windows cover: two anchors with equal
+    grams and contexts own equal windows.
+    """
+    at, first, last = anchor_places(h, width, gram)
+    if not len(at):
+        return at.view(np.uint64), at.view(np.uint64), at, at
     return h.some(at, at + gram), h.some(first, last + width) ^ mix((at - first).astype(np.uint64)), first, last
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import repeats, substrings, suffixes
+from graphloom.llm import multikey, repeats, substrings, suffixes
 from graphloom.llm.windows import Hashes, anchors, sliding_min
 
 
@@ -47,7 +47,7 @@ def key(x):
     return tuple(str(y) for y in x)
 
 
-@pytest.mark.parametrize("tuning", [{}, {"hot": 2, "run_anchors": 30, "group": 2}, {"run_anchors": 200, "group": 3, "hot": 4}])
+@pytest.mark.parametrize("tuning", [{}, {"range_bytes": 4000, "run_bytes": 3000, "chunk": 50}, {"range_bytes": 30000, "chunk": 1000}])
 @pytest.mark.parametrize("width", [400, 60])
 def test_suffixes_equal_brute_force(docs, corpus, width, tuning):
     got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(docs.select("doc_id", "text"), width, **tuning).collect()]
@@ -85,7 +85,7 @@ def test_periodic_and_many_contexts(spark):
     rows = [(i, " ".join(word() for _ in range(rng.randint(0, 40))) + " " + passage + " " + " ".join(word() for _ in range(rng.randint(0, 40)))) for i in range(40)]
     rows += [(100, "xy" * 900), (101, "z" * 399), (102, "w" * 401)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
-    for tuning in ({}, {"hot": 3, "run_anchors": 20}, {"group": 5}):
+    for tuning in ({}, {"range_bytes": 2000, "run_bytes": 2000, "chunk": 100}, {"range_bytes": 20000}):
         got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(df, **tuning).collect()]
         assert sorted(got, key=key) == sorted(plain_bytes(rows, 400), key=key)
 
@@ -138,7 +138,7 @@ def test_contexts_that_agree_in_half_their_bits_are_not_settled(spark, smaller):
         assert {r.doc for r in told if r.verdict & repeats.REPEATED} == ({9} if smaller else {0, 9})
 
 
-@pytest.mark.parametrize("tuning", [{}, {"hot": 2, "run_anchors": 30, "group": 2}])
+@pytest.mark.parametrize("tuning", [{}, {"hot": 2, "run_anchors": 30}])
 def test_many_texts_of_one_or_no_id_keep_their_own_words(spark, tuning):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
@@ -149,13 +149,34 @@ def test_many_texts_of_one_or_no_id_keep_their_own_words(spark, tuning):
     rows += [(5, other + " " + text(50)), (9, text(60) + " " + passage)]
     rows += [(None, rows[0][1])] * 20
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    n = {} if not tuning else {k: v for k, v in tuning.items() if k != "group"}
-    got = [(r.doc_id, r.n_words, r.n_removed, r.kept.encode()) for r in substrings.remove_repeats(df, **n).collect()]
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept.encode()) for r in substrings.remove_repeats(df, **tuning).collect()]
     assert sorted(got, key=key) == sorted(plain_words(rows, 13), key=key)
-    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(df, **tuning).collect()]
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(df, **({"range_bytes": 5000, "chunk": 500} if tuning else {})).collect()]
     assert sorted(got, key=key) == sorted(plain_bytes(rows, 400), key=key)
 
 
+def test_multikey_quicksort_sorts_and_finds_classes():
+    rng = random.Random(8)
+    strings = ["".join(rng.choice("ab") for _ in range(rng.choice([24, 24, 24]))).encode() for _ in range(300)]
+    strings += strings[:50] + [b"a" * 24] * 40
+    words = np.frombuffer(b"".join(strings), ">u8").reshape(-1, 3)
+    order, starts = multikey.multikey_quicksort(lambda i, d: words[i, d], len(strings), 3)
+    assert [strings[i] for i in order] == sorted(strings) and len(starts) == len(set(strings))
+    group = np.array([rng.randrange(4) for _ in strings])
+    order, starts = multikey.multikey_quicksort(lambda i, d: words[i, d], len(strings), 3, group)
+    assert [(group[i], strings[i]) for i in order] == sorted(zip(group, strings, strict=True)) and len(starts) == len(set(zip(group, strings, strict=True)))
+    assert len(multikey.multikey_quicksort(lambda i, d: words[i, d], 0, 3)[0]) == 0
+
+
+def test_texts_lose_whole_characters_only(spark):
+    rng = random.Random(6)
+    shared = "".join(rng.choice("äöü漢字") for _ in range(300))
+    rows = [(1, "\ufffd" + shared[:200] + "ende"), (2, "x" + shared[:199] + "e"), (3, None), (4, "kurz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in suffixes.remove_repeats(df, as_text=True).collect()}
+    assert out[1].kept[0] == "\ufffd" and out[1].kept.endswith("ende") and out[1].n_removed > 400 and out[3].kept == "" and out[4].kept == "kurz"
+
+
 def test_kept_digest(spark):
     df = spark.createDataFrame([(1, "k" * 10), (2, None)], "doc_id long, text string")
     assert {bytes(r.kept) for r in suffixes.remove_repeats(df).collect()} == {b"k" * 10, b""}
