@@ -12,7 +12,9 @@ back to bytes, so a text falls into independent segments at those places. Runs
 of space marks all have one score, where only the leftmost merge decides: such
 a segment is merged directly.
 
-Null texts are empty. Texts of any length take memory in proportion.
+Null texts are empty. Texts of any length take memory in proportion. Repeated
+rows give equal rows, an empty table an empty one; other columns pass through,
+and those made here win over others of the same name.
 """
 
 from __future__ import annotations
@@ -20,16 +22,19 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import map_arrow
+from graphloom.llm.common import Recent, map_arrow, quoted, schema_of, worker_state
 
 SPACE = "▁"
 #: Segments and pairs that a worker remembers before it starts over.
@@ -65,7 +70,7 @@ class PieceEncoder:
         self.automaton.make_automaton()
         self.segment = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
         self._pairs: dict[int, bool] = {}
-        self._segments: dict[str, bytes] = {}
+        self._segments, self._words = Recent(CACHE), Recent(CACHE)
 
     def merge(self, text: str) -> list[str]:
         """The pieces of ``text`` by merging: best score first, then leftmost."""
@@ -154,11 +159,9 @@ class PieceEncoder:
                 prev = ids[-1] if ids else -1
         return ids
 
-    def encode_segment(self, seg: str) -> tuple[int, ...]:
+    def encode_segment(self, seg: str) -> list[int]:
         if self.alphabet.issuperset(seg):
-            if seg.startswith(SPACE + SPACE):
-                return tuple(self.ids[p] if p in self.ids else -1 for p in self.merge(seg)) if all(c in self.ids for c in seg) else self._by_merging(seg)
-            return tuple(self._known(seg))
+            return self._run(seg)
         out: list[int] = []
         run = ""
         for c in seg:
@@ -168,7 +171,7 @@ class PieceEncoder:
             out += self._run(run)
             run = ""
             out += self._bytes(c)
-        return tuple(out + self._run(run))
+        return out + self._run(run)
 
     def _run(self, run: str) -> list[int]:
         return [] if not run else self._by_merging(run) if run.startswith(SPACE + SPACE) else self._known(run)
@@ -190,92 +193,120 @@ class PieceEncoder:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text, with the mark that this model puts before it."""
-        if not text:
-            return []
-        cache = self._segments
-        segs = self.segment.findall(SPACE + text.replace(" ", SPACE))
-        packed = list(map(cache.get, segs))
-        if None in packed:
-            for k, ids in enumerate(packed):
-                if ids is None:
-                    seg = segs[k]
-                    ids = cache.get(seg)
-                    if ids is None:
-                        ids = np.array(self.encode_segment(seg), dtype=np.int32).tobytes()
-                        if len(seg) <= 64:
-                            if len(cache) >= CACHE:
-                                cache.clear()
-                            cache[seg] = ids
-                    packed[k] = ids
-        return np.frombuffer(b"".join(packed), dtype=np.int32).tolist()
+        return self._spell(SPACE + text.replace(" ", SPACE)) if text else []
+
+    def _spell(self, text: str) -> list[int]:
+        if "\n" not in text and SPACE not in text[1:]:
+            return self.encode_segment(text)
+        segs = self.segment.findall(text)
+        ids = self._segments.get_all(segs)
+        for k, x in enumerate(ids):
+            if x is None:
+                ids[k] = tuple(self.encode_segment(segs[k]))
+                if len(segs[k]) <= 64:
+                    self._segments.put(segs[k], ids[k])
+        return list(chain.from_iterable(ids))
+
+    def encode_many(self, texts: pa.Array, digest: bool = False) -> Iterator[tuple[np.ndarray, bytes]]:
+        """Ids of each text and, with ``digest``, their decimals joined by commas.
+
+        A word after a single space is the same segments wherever it stands, so
+        Arrow splits the texts and each distinct word is encoded once a batch.
+        Texts with runs of spaces are encoded as a whole.
+        """
+        words = pc.split_pattern(texts, " ")
+        cuts = words.offsets.to_numpy()
+        coded = words.values.dictionary_encode()
+        distinct, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        known = self._words.get_all(distinct)
+        for i, (w, x) in enumerate(zip(distinct, known, strict=True)):
+            if x is None:
+                ids = self._spell(SPACE + w)
+                x = known[i] = (array("i", ids).tobytes(), ",".join(map(str, ids)).encode())
+                if len(w) <= 64:
+                    self._words.put(w, x)
+        gaps = np.flatnonzero(which == distinct.index("")) if "" in distinct else np.empty(0, np.int64)
+        apart = set((np.searchsorted(cuts, gaps, side="right") - 1).tolist())
+        for k, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist(), strict=False)):
+            if k in apart:
+                ids = self.encode(texts[k].as_py())
+                yield np.array(ids, dtype=np.int32), ",".join(map(str, ids)).encode() if digest else b""
+                continue
+            mine = [known[i] for i in which[a:b].tolist()]
+            yield np.frombuffer(b"".join([x[0] for x in mine]), dtype=np.int32), b",".join([x[1] for x in mine]) if digest else b""
 
     def decode(self, ids: list[int]) -> str:
         return self.sp.decode(ids)
 
 
-_encoders: dict[str, PieceEncoder] = {}
-
-
 def encoder(model_file: str) -> PieceEncoder:
     """One for each Python worker and model."""
-    if model_file not in _encoders:
-        _encoders[model_file] = PieceEncoder(model_file)
-    return _encoders[model_file]
-
-
-_decoders: dict[str, sentencepiece.SentencePieceProcessor] = {}
+    return worker_state("pieces", model_file, make=lambda: PieceEncoder(model_file))
 
 
 def decoder(model_file: str) -> sentencepiece.SentencePieceProcessor:
     """The library alone, for workers that only decode."""
-    if model_file not in _decoders:
-        _decoders[model_file] = sentencepiece.SentencePieceProcessor(model_file=model_file)
-    return _decoders[model_file]
+    return worker_state("decode", model_file, make=lambda: sentencepiece.SentencePieceProcessor(model_file=model_file))
 
 
 def encode_column(docs: DataFrame, model_file: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """``docs`` with ``out_col array<int>`` in place of the text."""
-    return _map(docs, model_file, text_col, {out_col: (pa.list_(pa.int32()), "array<int>")}, lambda e, t: (e.encode(t),))
+
+    def run(texts: pa.Array) -> list[pa.Array]:
+        return [_lists([x for x, _ in encoder(model_file).encode_many(texts)])]
+
+    return _map(docs, text_col, {out_col: "array<int>"}, run)
 
 
 def decode_column(table: DataFrame, model_file: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
-    """The other way round."""
-    return _map(table, model_file, ids_col, {out_col: (pa.string(), "string")}, lambda e, ids: (decoder(model_file).decode(list(ids)) if len(ids) else "",), encoding=False)
+    """The other way round; null ids give an empty text."""
+
+    def run(lists: pa.Array) -> list[pa.Array]:
+        decode = decoder(model_file).decode
+        return [pa.array([decode(x) if x else "" for x in lists.to_pylist()], pa.string())]
+
+    return _map(table, ids_col, {out_col: "string"}, run)
 
 
 def encode_checked(docs: DataFrame, model_file: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``ids, n_tokens`` and whether decoding gives the text back, in place of the text: one pass, one worker."""
 
-    def run(e: PieceEncoder, text: str) -> tuple:
-        ids = e.encode(text)
-        return ids, len(ids), (e.decode(ids) if ids else "") == text
+    def run(texts: pa.Array) -> list[pa.Array]:
+        e = encoder(model_file)
+        ids = [x for x, _ in e.encode_many(texts)]
+        same = [(e.decode(x.tolist()) if len(x) else "") == t.as_py() for x, t in zip(ids, texts, strict=True)]
+        return [_lists(ids), pa.array(map(len, ids), pa.int64()), pa.array(same, pa.bool_())]
 
-    return _map(docs, model_file, text_col, {"ids": (pa.list_(pa.int32()), "array<int>"), "n_tokens": (pa.int64(), "long"), "round_trip": (pa.bool_(), "boolean")}, run)
+    return _map(docs, text_col, {"ids": "array<int>", "n_tokens": "long", "round_trip": "boolean"}, run)
 
 
 def round_trip(docs: DataFrame, model_file: str, text_col: str = "text") -> DataFrame:
     """Digests of encoding and decoding in one pass: ``n_tokens, ids_sha256, decoded_sha256`` in place of the text."""
 
-    def run(e: PieceEncoder, text: str) -> tuple:
-        ids = e.encode(text)
-        named = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
-        return len(ids), named, hashlib.sha256(e.decode(ids).encode()).hexdigest() if ids else hashlib.sha256(b"").hexdigest()
+    def run(texts: pa.Array) -> list[pa.Array]:
+        e, rows = encoder(model_file), []
+        for ids, named in e.encode_many(texts, digest=True):
+            back = e.decode(ids.tolist()) if len(ids) else ""
+            rows.append((len(ids), hashlib.sha256(named).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
+        return [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))]
+
+    return _map(docs, text_col, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, run)
+
 
-    out = {"n_tokens": (pa.int64(), "long"), "ids_sha256": (pa.string(), "string"), "decoded_sha256": (pa.string(), "string")}
-    return _map(docs, model_file, text_col, out, run)
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    cuts = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32()))
 
 
-def _map(df: DataFrame, model_file: str, col: str, out: dict, f, encoding: bool = True) -> DataFrame:
+def _map(df: DataFrame, col: str, out: dict[str, str], f) -> DataFrame:
+    """``df`` with the columns ``out`` that ``f`` makes of a batch of ``col``, in its place; they win over others of the same name."""
     kept = [c for c in df.columns if c != col and c not in out]
-    value = F.col(col) if dict(df.dtypes)[col] != "string" else F.coalesce(F.col(col), F.lit(""))
-    src = df.select(*kept, value.alias("__in"))
-    schema = ", ".join([f"`{x.name}` {x.dataType.simpleString()}" for x in src.schema.fields[:-1]] + [f"`{k}` {t}" for k, (_, t) in out.items()])
+    value = F.col(quoted(col)) if dict(df.dtypes)[col] != "string" else F.coalesce(F.col(quoted(col)), F.lit(""))
+    src = df.select(*map(quoted, kept), value.alias("in"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(model_file) if encoding else None
         for b in batches:
-            got = [f(e, x if x is not None else []) for x in b.column(b.num_columns - 1).to_pylist()]
-            new = [pa.array([g[i] for g in got], t) for i, (t, _) in enumerate(out.values())]
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(b.num_columns - 1)] + new, names=[*kept, *out])
+            k = b.num_columns - 1
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(k)] + f(b.column(k)), names=[*kept, *out])
 
-    return map_arrow(src, run, schema)
+    return map_arrow(src, run, schema_of(src, kept, out))
