@@ -7,12 +7,16 @@ each offset packed, the high bits in unary, and the rank of every 64th set bit
 so that one offset is found by a short scan (``select``). That takes about
 2 + log2(ids per document) bits a document instead of a 64-bit table.
 
-Segments are rows ``(part, seq, n_docs, n_ids, doc_ids, segment)`` of Parquet
+The doc_ids are kept in the segment in the same form.
+
+Segments are rows ``(part, seq, n_docs, n_ids, before, segment)`` of Parquet
 files: Spark's writer commits them on any store and a lost executor only
 repeats its own. Parts are ranges of doc_id, so (part, seq) is file order.
 
-Null texts are empty documents: only the end id. Repeated doc_ids are kept,
-ordered by their text. An empty table gives no segments.
+Null texts are empty documents: only the end id. Null doc_ids come first,
+repeated ones are kept, ordered by their ids. A text of any length is one
+document of one segment; a task holds a segment and the next document. An empty
+table gives no segments. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -27,17 +31,22 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import map_arrow
+from graphloom.llm.common import Recent, map_arrow, worker_state
+from graphloom.session import materialize
 
-MAGIC = b"GLTOKEF1"
-HEAD = struct.Struct("<8sBBHIQQ")  # magic, id width, low bits, select step, documents, ids, bytes of high bits
+MAGIC = b"GLTOKEF2"
+#: magic, id width, low bits of ends, low bits of doc_ids, select step, documents, documents without an id, ids, bytes of high bits of both, first doc_id
+HEAD = struct.Struct("<8sBBBHIIQQQq")
 STEP = 64
 #: Ids after which a segment is closed.
 SEGMENT_IDS = 1 << 20
-CACHE = 500_000
+CACHE = 250_000
+#: Bytes of ids that a part of the file holds at most on average.
+PART_BYTES = 32 << 20
 
 
 # --- Elias-Fano -------------------------------------------------------------
@@ -66,11 +75,11 @@ class EliasFano:
 
     def all(self) -> np.ndarray:
         places = np.flatnonzero(np.unpackbits(self._high, bitorder="little"))[: self.n]
-        out = (places - np.arange(self.n)).astype(np.int64) << self.low
+        out = (places - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low)
         if self.low:
-            bits = np.unpackbits(self._lows, bitorder="little")[: self.n * self.low].reshape(self.n, self.low).astype(np.int64)
-            out |= bits @ (np.int64(1) << np.arange(self.low, dtype=np.int64))
-        return out
+            bits = np.unpackbits(self._lows, bitorder="little")[: self.n * self.low].reshape(self.n, self.low).astype(np.uint64)
+            out |= (bits << np.arange(self.low, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        return out.view(np.int64)
 
     def select(self, i: int) -> int:
         """Element ``i``: from the sample before it, over at most the bits of STEP elements."""
@@ -96,26 +105,42 @@ class EliasFano:
 # --- segments ---------------------------------------------------------------
 
 
-def write_segment(ids: list[np.ndarray]) -> bytes:
+def write_segment(ids: list[np.ndarray], doc_ids: list[int | None] = ()) -> bytes:
+    """``doc_ids`` ascend, those that are null first; they are an Elias-Fano sequence too."""
     ends = np.cumsum([len(x) for x in ids], dtype=np.int64)
     flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
     width = 2 if not len(flat) or int(flat.max()) < 1 << 16 else 4
-    low, lows, high, samples = ef_encode(ends, int(ends[-1]) if len(ends) else 0)
-    return HEAD.pack(MAGIC, width, low, STEP, len(ids), len(flat), len(high)) + lows + high + samples + flat.astype(f"<u{width}").tobytes()
+    low, *bounds = ef_encode(ends, int(ends[-1]) if len(ends) else 0)
+    named = [x for x in doc_ids if x is not None]
+    first = named[0] if named else 0
+    name_low, *names = ef_encode(np.array([x - first for x in named], dtype=np.uint64), named[-1] - first if named else 0)
+    head = HEAD.pack(MAGIC, width, low, name_low, STEP, len(ids), len(ids) - len(named), len(flat), len(bounds[1]), len(names[1]), first)
+    return b"".join([head, *bounds, *names, flat.astype(f"<u{width}").tobytes()])
 
 
-def read_segment(data: bytes) -> tuple[EliasFano, np.ndarray]:
-    """The ends of its documents and all their ids."""
-    magic, width, low, step, n, n_ids, n_high = HEAD.unpack_from(data)
+def _parts(data: bytes) -> tuple[EliasFano, EliasFano, int, np.ndarray]:
+    magic, width, low, name_low, step, n, nameless, n_ids, high, name_high, first = HEAD.unpack_from(data)
     if magic != MAGIC or step != STEP:
         raise ValueError("not a token segment")
-    at = HEAD.size
-    cuts = [-(-n * low // 8), n_high, 4 * -(-n // STEP)]
-    parts = []
-    for size in cuts:
-        parts.append(data[at : at + size])
-        at += size
-    return EliasFano(n, low, *parts), np.frombuffer(data, f"<u{width}", n_ids, at)
+    at, found = HEAD.size, []
+    for k, bits, size in ((n, low, high), (n - nameless, name_low, name_high)):
+        parts = []
+        for length in (-(-k * bits // 8), size, 4 * -(-k // STEP)):
+            parts.append(data[at : at + length])
+            at += length
+        found.append(EliasFano(k, bits, *parts))
+    return found[0], found[1], first, np.frombuffer(data, f"<u{width}", n_ids, at)
+
+
+def read_segment(data: bytes) -> tuple[EliasFano, np.ndarray]:
+    """The ends of its documents and all their ids."""
+    bounds, _, _, ids = _parts(data)
+    return bounds, ids
+
+
+def doc_ids_of(data: bytes) -> list[int | None]:
+    bounds, names, first, _ = _parts(data)
+    return [None] * (bounds.n - names.n) + [first + names.select(i) for i in range(names.n)]
 
 
 # --- encoding ---------------------------------------------------------------
@@ -132,6 +157,15 @@ def _stand_ins() -> list[str]:
 _STAND_INS = _stand_ins()
 
 
+def _bounds(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return offsets[:-1].astype(np.int64), np.diff(offsets).astype(np.int64)
+
+
+def spread_runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each run, one after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 class WordEncoder:
     """The tokenizers library, asked once for each distinct word.
 
@@ -141,9 +175,8 @@ class WordEncoder:
     letters then goes to the model as its bytes' printable stand-ins.
     """
 
-    _other = re.compile("[^\x00-\u017f]|\u0130|'|<\\|")
+    _other = "[^\x00-\u017f]|\u0130|'|<[|]"
     _letters = re.compile("[a-zªµºß-öø-ſ]+")
-    _runs = re.compile("[a-zªµºß-öø-ſ]+|[^\t-\r a-zªµºß-öø-ſ]+")
 
     def __init__(self, path: str, split_letters: bool = True):
         # A worker has one core; threads of the library would each keep memory.
@@ -153,12 +186,14 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         self.split_letters = split_letters
         self.width = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
-        self._words: dict[str, bytes] = {}
+        self._known = Recent(CACHE)
 
-    def _split(self, text: str) -> list[str]:
-        if self.split_letters and not self._other.search(text):
-            return self._runs.findall(text.lower())
-        return text.replace("\n", " ").split(" ")
+    def _runs(self, words: pa.Array) -> pa.Array:
+        """What the model is asked for: a word's runs of letters and of others, lower-cased, where the tokenizer splits so."""
+        if not self.split_letters:
+            return pc.ascii_split_whitespace(words)
+        cut = pc.replace_substring_regex(pc.utf8_lower(words), f"({self._letters.pattern})", r" \1 ")
+        return pc.ascii_split_whitespace(pc.utf8_trim(pc.if_else(pc.match_substring_regex(words, self._other), words, cut), " "))
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         """Ids of new words: letters go to the model at once, others joined by spaces and told apart by their offsets."""
@@ -182,84 +217,116 @@ class WordEncoder:
             known.update((w, ids[a:b].tobytes()) for w, a, b in zip(some, cuts, cuts[1:], strict=False))
         return known
 
-    def encode_many(self, texts: list[str], end_id: int | None = None) -> Iterator[np.ndarray]:
-        """Ids of each text; words new to all of them are asked for together."""
-        known = self._words
-        end = b"" if end_id is None else np.array([end_id], dtype=self.width).tobytes()
-        split = [self._split(t) for t in texts]
-        packed = [list(map(known.get, words)) for words in split]
-        new = dict.fromkeys(w for words, p in zip(split, packed, strict=True) if None in p for w, x in zip(words, p, strict=True) if x is None)
-        got = self._learn(list(new))
-        for words, p in zip(split, packed, strict=True):
-            if None in p:
-                p = [got[w] if x is None else x for w, x in zip(words, p, strict=True)]
-            p.append(end)
-            yield np.frombuffer(b"".join(p), dtype=self.width)
-        if len(known) + len(got) > CACHE:
-            known.clear()
-        known.update((w, x) for w, x in got.items() if len(w) <= 64)
+    def encode_many(self, texts: pa.Array, end_id: int | None = None) -> Iterator[np.ndarray]:
+        """Ids of each text. Arrow splits texts and tells words apart; each distinct run of a word is looked up once a batch."""
+        words = pc.ascii_split_whitespace(texts)
+        seen = words.values.dictionary_encode()
+        runs = self._runs(seen.dictionary)
+        coded = runs.values.dictionary_encode()
+        asked = coded.dictionary.to_pylist()
+        ids = self._known.get_all(asked)
+        new = self._learn([r for r, x in zip(asked, ids, strict=True) if x is None])
+        for i, x in enumerate(ids):
+            if x is None:
+                ids[i] = new[asked[i]]
+                if len(asked[i]) <= 64:
+                    self._known.put(asked[i], ids[i])
+        ids.append(b"" if end_id is None else np.array([end_id], dtype=self.width).tobytes())
+        # Occurrences of words, then of runs, then ids; after each text the end.
+        cuts = words.offsets.to_numpy().astype(np.int64)
+        begin, size = _bounds(runs.offsets.to_numpy())
+        word = np.insert(seen.indices.to_numpy().astype(np.int64), cuts[1:], len(begin))
+        begin, size = np.append(begin, len(coded)), np.append(size, 1)
+        run = np.append(coded.indices.to_numpy().astype(np.int64), len(ids) - 1)[spread_runs(begin[word], size[word])]
+        text_ends = np.cumsum(size[word])[cuts[1:] + np.arange(len(texts))]  # in runs
+        pool = np.frombuffer(b"".join(ids), dtype=self.width)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // pool.itemsize
+        begin, size = (np.cumsum(size) - size)[run], size[run]
+        out = pool[spread_runs(begin, size)]
+        ends = np.cumsum(size)[text_ends - 1].tolist()
+        for a, b in zip([0, *ends], ends, strict=False):
+            yield out[a:b]
 
     def encode(self, text: str, end_id: int | None = None) -> np.ndarray:
-        return next(self.encode_many([text], end_id))
+        return next(self.encode_many(pa.array([text], pa.string()), end_id))
 
 
-_encoders: dict[str, WordEncoder] = {}
+def _encoder(tokenizer: str) -> WordEncoder:
+    return worker_state("tokens", tokenizer, make=lambda: WordEncoder(tokenizer))
 
 
 def token_segments(docs: DataFrame, tokenizer: str, end_id: int | None = 1, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of the files, for ``df.write.parquet``; ``part`` is a range of doc_id."""
+    """The rows of the files, for ``df.write.parquet``; ``part`` is a range of doc_id.
+
+    Texts are encoded where they lie; only their ids, two bytes each, are sent to the part they belong to.
+    """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    order = ["doc_id", "text"]
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    src = src.repartitionByRange(parts, "doc_id").sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), *order)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = _encoder(tokenizer)
+        for b in batches:
+            ids = [x.tobytes() for x in enc.encode_many(b.column(1), end_id)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "size", "ids"])
+
+    coded = materialize(map_arrow(src, encode, "doc_id long, size long, ids binary"), "token-ids")
+    if parts is None:
+        held = coded.agg(F.sum("size")).first()[0] or 0
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // PART_BYTES))
+    rows = coded.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids").select(F.spark_partition_id().alias("part"), "doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _encoders:
-            _encoders[tokenizer] = WordEncoder(tokenizer)
-        enc = _encoders[tokenizer]
+        width = _encoder(tokenizer).width
         ids: list[np.ndarray] = []
         names: list[int | None] = []
-        held, seq, part = 0, 0, 0
+        held = seq = part = before = 0
 
         def close() -> pa.RecordBatch:
-            cols = [pa.array([x], t) for x, t in ((part, pa.int32()), (seq, pa.int32()), (len(ids), pa.int64()), (held, pa.int64()), (names, pa.list_(pa.int64())), (write_segment(ids), pa.binary()))]
-            return pa.RecordBatch.from_arrays(cols, names=["part", "seq", "n_docs", "n_ids", "doc_ids", "segment"])
+            cols = [(part, pa.int32()), (seq, pa.int32()), (len(ids), pa.int64()), (held, pa.int64()), (before, pa.int64()), (write_segment(ids, names), pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in cols], names=["part", "seq", "n_docs", "n_ids", "before", "segment"])
 
         for b in batches:
             part = b.column(0)[0].as_py() if b.num_rows else part
-            for doc_id, got in zip(b.column(1).to_pylist(), enc.encode_many(b.column(2).to_pylist(), end_id), strict=True):
-                ids.append(got)
+            for doc_id, got in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+                ids.append(np.frombuffer(got.as_buffer(), dtype=width))
                 names.append(doc_id)
-                held += len(got)
+                held += len(ids[-1])
                 if held >= SEGMENT_IDS:
                     yield close()
+                    before += held
                     ids, names, held, seq = [], [], 0, seq + 1
         if ids:
             yield close()
 
-    return map_arrow(src, run, "part int, seq int, n_docs long, n_ids long, doc_ids array<long>, segment binary")
+    return map_arrow(rows, run, "part int, seq int, n_docs long, n_ids long, before long, segment binary")
 
 
 def read_documents(segments: DataFrame) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` of every document in written segments.
 
-    Where a segment starts is summed over parts first, then within each part.
+    A segment knows what its part holds before it; the sums of the parts, one row
+    for each, are added up by the driver. The segments themselves aren't shuffled.
     """
-    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    per_part = segments.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("part_start"))
-    within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = segments.select("part", "seq", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("seq_start")).join(per_part, "part")
-    src = segments.join(starts, ["part", "seq"]).select((F.col("part_start") + F.col("seq_start")).alias("start"), "doc_ids", "segment")
+    sums = sorted(segments.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
+    ahead = np.concatenate([[0], np.cumsum([r.n for r in sums], dtype=np.int64)]).tolist()
+    starts = segments.sparkSession.createDataFrame([(r.part, a) for r, a in zip(sums, ahead, strict=False)], "part int, ahead long")
+    src = segments.join(F.broadcast(starts), "part").select((F.col("ahead") + F.col("before")).alias("start"), "segment")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                bounds, ids = read_segment(b.column(2)[i].as_py())
-                ends = bounds.all()
-                begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+            for start, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                bounds, ids = read_segment(data)
+                ends = [bounds.select(i) for i in range(bounds.n)]
+                begins = [0, *ends[:-1]]
                 raw = ids.astype("<u4")
                 crc = [zlib.crc32(raw[a:e]) for a, e in zip(begins, ends, strict=True)]
-                cols = [b.column(1)[i].values, pa.array(begins + b.column(0)[i].as_py()), pa.array(ends - begins), pa.array(crc, pa.int64())]
+                size = [e - a for a, e in zip(begins, ends, strict=True)]
+                cols = [pa.array(x, pa.int64()) for x in (doc_ids_of(data), [start + a for a in begins], size, crc)]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return map_arrow(src, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def read_document(data: bytes, i: int) -> np.ndarray:
+    """Ids of document ``i`` of a segment, found by two selects."""
+    bounds, ids = read_segment(data)
+    return ids[bounds.select(i - 1) if i else 0 : bounds.select(i)]

@@ -102,10 +102,28 @@ def test_words_equal_the_library(text):
 @given(st.lists(st.sampled_from(list("ab tÉéßñøÿɏʼ²½µª'1.,<|\n\t\x0b\x1c\x85\xa0") + ["'s", "́", "İ", "the ", "Über", "…", "日本"]), max_size=25))
 def test_any_text_equals_the_library(parts):
     text = "".join(parts)
-    e = tokenfile._encoders.setdefault(WORDS, tokenfile.WordEncoder(WORDS))
+    e = tokenfile._encoder(WORDS)
     assert e.encode(text).tolist() == e.tok.encode(text, add_special_tokens=False).ids
 
 
+def test_one_document_is_found_by_select(spark, docs, corpus):
+    from tokenizers import Tokenizer
+
+    rows = tokenfile.token_segments(docs, WORDS, parts=1).collect()
+    tok, texts = Tokenizer.from_file(WORDS), {i: t or "" for i, t, *_ in corpus}
+    names = tokenfile.doc_ids_of(rows[0].segment)
+    assert names[0] is None and names[1:] == sorted(names[1:]) and len(names) == len(corpus)
+    for i in (1, 5, 70, len(names) - 1):
+        want = [*tok.encode(texts[names[i]], add_special_tokens=False).ids, 1]
+        assert tokenfile.read_document(rows[0].segment, i).tolist() == want
+
+
+def test_doc_ids_of_any_range():
+    ids = [np.array([1], np.uint16)] * 6
+    for names in ([None, None, -(1 << 63), 0, 0, (1 << 63) - 1], [None] * 6, [-5, -5, 3, 4, 1 << 40, 1 << 62]):
+        assert tokenfile.doc_ids_of(tokenfile.write_segment(ids, names)) == names
+
+
 def test_token_files_empty(spark, empty):
     segments = materialize(tokenfile.token_segments(empty, WORDS, parts=2), "t")
     assert tokenfile.read_documents(segments).count() == 0
