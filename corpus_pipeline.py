@@ -43,15 +43,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that a 400-byte repeat covers; a character cut in part goes."""
-    release(spark)
-    out = suffixes.remove_repeats(docs.select(*COLUMNS))
-    text = F.when(F.col("n_removed") == 0, F.decode("kept", "UTF-8")).otherwise(whole_characters(F.col("kept")))
-    return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
-
-
-def whole_characters(data):
-    """UTF-8 text of bytes without those that are no character."""
-    return F.regexp_replace(F.try_validate_utf8(F.make_valid_utf8(data.cast("string"))), "�", "")
+    out = suffixes.remove_repeats(docs.select(*COLUMNS), as_text=True)
+    return out.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
