@@ -30,11 +30,16 @@ def get_spark(cpus: int | None = None, shuffle_partitions: int | None = None) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (tests, a laptop) is a folder of our own made.
+    Only on one machine, in tests or on a laptop, is a folder of our own made
+    where it is unset; on a cluster that is an error, as executors would not see
+    each other's files.
     """
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = os.path.join(tempfile.gettempdir(), "graphloom-checkpoints")
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
     return f"file://{own}"
@@ -51,11 +56,25 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    except BaseException:
+        delete_path(spark, path)
+        raise
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the committed Parquet tables in a folder; none if it doesn't exist."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    done = lambda d: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(d, "_SUCCESS"))
+    return sorted(x.getPath().getName() for x in fs.listStatus(p) if x.isDirectory() and done(x.getPath()))
+
+
 def forget(df: DataFrame) -> None:
     """Delete the one materialized table ``df`` was read from."""
     for f in df.inputFiles()[:1]:
@@ -73,11 +92,11 @@ def release(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
-def _delete_path(spark: SparkSession, path: str) -> None:
+def delete_path(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    _delete_path(spark, path)
+    delete_path(spark, path)
     _written.remove(path)
