@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import mixing, pieces, queries, simhash, suffixes, toxicity
-from graphloom.session import _delete_path, materialize, release, shared_dir
+from graphloom.session import delete_path, materialize, release, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -81,6 +81,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if before:
-            _delete_path(spark, before)
+            delete_path(spark, before)
         before = path
     return STAGES[-1][1](spark, docs, sf_dir)
