@@ -1,20 +1,20 @@
 """Which windows of a corpus repeat: distributed resolution of the anchors in ``windows``.
 
 1. ``runs``: each task sorts the anchors of its documents by (gram, context)
-   into an immutable run, settles what repeats inside it, and sends one entry
+   into an immutable run, tells what repeats inside it, and sends one entry
    for each class of equal contexts, packed by range of gram hash.
-2. ``merge``: runs of one range are merged and neighbours compared. A class
-   that occurs again is settled as a whole; a gram with two or more different
-   contexts stays open, as its windows may agree in part; any other is unique.
-   A gram that is hot in some run is not merged in one task: its entries are
-   passed on and settled by a partially aggregated group-by and a join that
-   Spark can split.
+2. ``merge``: runs of one range are merged and neighbours compared. An anchor
+   whose class a smaller id has is told as a whole; a gram with two or more
+   different contexts stays open, as its windows may agree in part; any other
+   is unique. A gram that is hot in some run is not merged in one task: its
+   entries are passed on and settled by a partially aggregated group-by and a
+   join that Spark can split.
 3. ``open_anchors``: only open anchors are looked at window by window.
 
-``own`` says how a repeat counts: with ``smaller`` a window counts if a
-document of a smaller id has it, otherwise if it starts anywhere else.
-Nothing is sampled or capped: an anchor is dropped only when no other anchor
-has its gram.
+A window repeats if a document of a smaller id has it. Runs of earlier batches
+take part as what is smaller: only grams that a fresh run has are looked at, and
+nothing is told of the earlier rows. Nothing is sampled or capped: an anchor is
+dropped only when no other anchor has its gram.
 
 Rows are told apart by ``(doc, body)``: their id, ``NO_ID`` where it is null,
 and the XXH64 of their text. Rows equal in both share all verdicts.
@@ -34,14 +34,14 @@ from graphloom.llm.windows import Hashes, anchors, covered, mix, spread
 from graphloom.session import materialize
 
 #: Anchors after which a task closes a run.
-RUN_ANCHORS = 1_500_000
+RUN_ANCHORS = 500_000
 #: Different contexts of one gram in one run from which the gram is hot.
 HOT = 256
 NO_ID = (1 << 63) - 1
-REPEATED, OPEN, HOT_BIT = 1, 2, 4  # bits of a verdict
+REPEATED, OPEN = 1, 2  # bits of a verdict
 _ENTRY = np.dtype([("g", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("body", "<i8"), ("ord", "<u4"), ("flag", "u1")])
-#: Flags of an entry: its class repeats inside its run, it marks a hot gram, it belongs to one, it is settled.
-_MULTI, _MARK, _PASS, _TOLD = 1, 2, 4, 8
+#: Flags of an entry: it marks a hot gram, it belongs to one, it is told, it is of a fresh run.
+_MARK, _PASS, _TOLD, _FRESH = 2, 4, 8, 16
 
 
 def _pack(e: np.ndarray) -> bytes:
@@ -69,11 +69,6 @@ def _unpack(data: bytes) -> np.ndarray:
     return out
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``doc`` never null and ``body``."""
-    return docs.withColumn("doc", F.coalesce(F.col("doc").cast("long"), F.lit(NO_ID))).withColumn("body", F.xxhash64(F.coalesce("text", F.lit(""))))
-
-
 def _starts(*columns: np.ndarray) -> np.ndarray:
     """Whether each row starts a run of rows equal in all columns."""
     new = np.zeros(len(columns[0]), bool)
@@ -84,10 +79,10 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
 
 
 class Rule:
-    """How tokens are made and what counts as a repeat."""
+    """How tokens are made and how many of them a window and a gram have."""
 
-    def __init__(self, tokens: Callable[[bytes], np.ndarray], width: int, gram: int, smaller: bool):
-        self.tokens, self.width, self.gram, self.smaller = tokens, width, gram, smaller
+    def __init__(self, tokens: Callable[[bytes], np.ndarray], width: int, gram: int):
+        self.tokens, self.width, self.gram = tokens, width, gram
 
     def of(self, text: bytes):
         return anchors(Hashes(self.tokens(text)), self.width, self.gram)
@@ -102,24 +97,18 @@ def _rows(doc, body, ord_, verdict, g=None, c=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, names=["doc", "body", "ord", "verdict", "g", "c"])
 
 
-def _close_run(e: np.ndarray, rule: Rule, buckets: int, hot: int, salt: int) -> Iterator[pa.RecordBatch]:
+def _close_run(e: np.ndarray, buckets: int, hot: int, salt: int) -> Iterator[pa.RecordBatch]:
+    """Payloads by bucket: 0.. by range of gram, ``buckets``.. for entries of hot grams, ``2 * buckets``.. for what is told."""
     e = e[np.lexsort((e["ord"], e["body"], e["doc"], e["c"], e["g"]))]
-    new = _starts(e["g"], e["c"])
-    at = np.flatnonzero(new)
-    size = np.diff(np.append(at, len(e)))
-    head = np.repeat(at, size)  # the class's first entry: the smallest id
-    own = _starts(e["g"], e["c"], e["doc"], e["body"])
-    if rule.smaller:  # a text's anchors of one class share a verdict, see ``picked``
-        larger = e["doc"] > e["doc"][head]
-        settled, kept = larger & own, ~larger & own  # each text of the smallest id is still in doubt
-    else:
-        settled, kept = np.repeat(size > 1, size) & _starts(e["g"], e["c"], e["doc"], e["body"], e["ord"]), new
-    told = e[settled].copy()
+    at = np.flatnonzero(_starts(e["g"], e["c"]))
+    head = np.repeat(at, np.diff(np.append(at, len(e))))  # the class's first entry: the smallest id
+    own = _starts(e["g"], e["c"], e["doc"], e["body"])  # a text's anchors of one class share a verdict, see ``picked``
+    larger = e["doc"] > e["doc"][head]
+    told = e[larger & own].copy()
     told["flag"] = _TOLD
     chunks = [told[at : at + 100_000] for at in range(0, len(told), 100_000)]
-    yield _payloads([(salt + i) % buckets for i in range(len(chunks))], chunks)
-    e["flag"][at[size > 1]] |= _MULTI
-    e = e[kept]
+    yield _payloads([2 * buckets + (salt + i) % buckets for i in range(len(chunks))], chunks)
+    e = e[~larger & own]  # each text of the smallest id is still in doubt
     if not len(e):
         return
     group = np.cumsum(_starts(e["g"])) - 1
@@ -130,12 +119,10 @@ def _close_run(e: np.ndarray, rule: Rule, buckets: int, hot: int, salt: int) ->
         marks = e[passed & _starts(e["g"])].copy()
         marks["flag"] = _MARK
         e["flag"][passed] |= _PASS
-        bucket[passed] = (np.arange(int(passed.sum())) + salt) % buckets
+        bucket[passed] = buckets + (np.arange(int(passed.sum())) + salt) % buckets
         bucket = np.concatenate([bucket, (marks["g"] >> np.uint64(32)).astype(np.int64) * buckets >> 32])
         e = np.concatenate([e, marks])
-        order = np.argsort(e["g"], kind="stable")
-        e, bucket = e[order], bucket[order]
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((e["g"], bucket))
     e, bucket = e[order], bucket[order]
     cuts = np.flatnonzero(_starts(bucket))
     yield _payloads(bucket[cuts].tolist(), [e[a:b] for a, b in zip(cuts, np.append(cuts[1:], len(e)), strict=True)])
@@ -146,7 +133,7 @@ def _payloads(buckets: list[int], entries: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def runs(docs: DataFrame, rule: Rule, buckets: int, hot: int = HOT, run_anchors: int = RUN_ANCHORS) -> DataFrame:
-    """From ``(doc, text)``: ``(bucket, payload)``, what each run has for each bucket."""
+    """From ``(doc, body, text)``: ``(bucket, payload)``, what each run has for each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -163,19 +150,20 @@ def runs(docs: DataFrame, rule: Rule, buckets: int, hot: int = HOT, run_anchors:
                 held.append(e)
                 n += len(e)
                 if n >= run_anchors:
-                    yield from _close_run(np.concatenate(held), rule, buckets, hot, salt)
+                    yield from _close_run(np.concatenate(held), buckets, hot, salt)
                     held, n, salt = [], 0, salt + 1
         if held:
-            yield from _close_run(np.concatenate(held), rule, buckets, hot, salt)
+            yield from _close_run(np.concatenate(held), buckets, hot, salt)
 
-    return map_arrow(keyed(docs.select("doc", "text")).select("doc", "body", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")), run, "bucket int, payload binary")
+    return map_arrow(docs.select("doc", "body", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")), run, "bucket int, payload binary")
 
 
-def _merge_bucket(payloads: list[bytes], rule: Rule) -> Iterator[pa.RecordBatch]:
-    e = np.concatenate([_unpack(p) for p in payloads])
+def _merge_bucket(payloads: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    e = np.concatenate(payloads)
     told = (e["flag"] & _TOLD) > 0
     if told.any():
-        yield _rows(e["doc"][told], e["body"][told], e["ord"][told], np.full(int(told.sum()), REPEATED))
+        x = e[told & ((e["flag"] & _FRESH) > 0)]
+        yield _rows(x["doc"], x["body"], x["ord"], np.full(len(x), REPEATED))
         e = e[~told]
     marked = np.unique(e["g"][(e["flag"] & _MARK) > 0])
     e = e[(e["flag"] & _MARK) == 0]
@@ -184,56 +172,55 @@ def _merge_bucket(payloads: list[bytes], rule: Rule) -> Iterator[pa.RecordBatch]
         away |= np.isin(e["g"], marked)
     if away.any():
         x = e[away]
-        yield _rows(x["doc"], x["body"], x["ord"], (x["flag"] & _MULTI) * REPEATED, x["g"], x["c"])
+        yield _rows(x["doc"], x["body"], x["ord"], (x["flag"] & _FRESH > 0).astype(np.int8), x["g"], x["c"])
         e = e[~away]
     if not len(e):
         return
     e = e[np.lexsort((e["ord"], e["body"], e["doc"], e["c"], e["g"]))]
-    new_g, new = _starts(e["g"]), _starts(e["g"], e["c"])
-    at = np.flatnonzero(new)
-    size = np.diff(np.append(at, len(e)))
-    head = np.repeat(at, size)
-    group = np.cumsum(new_g) - 1
-    open_ = (np.bincount(group[at]) > 1)[group]
-    if rule.smaller:
-        smallest = e["doc"][head]
-        repeated = e["doc"] > smallest
-        open_ &= ~repeated  # of a class only the texts of the smallest id are still in doubt, and they stand for the others
-    else:
-        repeated = np.repeat((size > 1) | ((e["flag"][at] & _MULTI) > 0), size)
-        open_ &= new  # the first of a class stands for it
-    told = repeated | open_
+    group = np.cumsum(_starts(e["g"])) - 1
+    e = e[(np.bincount(group, weights=(e["flag"] & _FRESH) > 0) > 0)[group]]
+    if not len(e):
+        return
+    group = np.cumsum(_starts(e["g"])) - 1
+    at = np.flatnonzero(_starts(e["g"], e["c"]))
+    smallest = e["doc"][np.repeat(at, np.diff(np.append(at, len(e))))]
+    fresh = (e["flag"] & _FRESH) > 0
+    repeated = e["doc"] > smallest
+    # Of a class only the texts of the smallest id are still in doubt, and they stand for the others.
+    open_ = (np.bincount(group[at]) > 1)[group] & ~repeated
+    told = repeated & fresh | open_
     if told.any():
         yield _rows(e["doc"][told], e["body"][told], e["ord"][told], (repeated * REPEATED + open_ * OPEN)[told])
 
 
-def merge(payloads: DataFrame, rule: Rule) -> DataFrame:
-    """Merges the runs of each bucket; a task holds one bucket at a time."""
+def merge(payloads: DataFrame) -> DataFrame:
+    """Merges the runs ``(bucket, payload, fresh)`` of each bucket; a task holds one bucket at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for b in batches:
-            for bucket, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for bucket, payload, fresh in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
                 if bucket != at and held:
-                    yield from _merge_bucket(held, rule)
+                    yield from _merge_bucket(held)
                     held = []
                 at = bucket
-                held.append(payload)
+                held.append(_unpack(payload))
+                held[-1]["flag"] |= fresh * _FRESH
         if held:
-            yield from _merge_bucket(held, rule)
+            yield from _merge_bucket(held)
+
+    return map_arrow(payloads.select("bucket", "payload", F.col("fresh").cast("int")).repartition("bucket").sortWithinPartitions("bucket"), run, _OUT_SCHEMA)
 
-    return map_arrow(payloads.select("bucket", "payload").repartition("bucket").sortWithinPartitions("bucket"), run, _OUT_SCHEMA)
 
+def settle_hot(hot: DataFrame) -> DataFrame:
+    """Verdicts of entries of hot grams ``(doc, body, ord, verdict, g, c)``, where ``verdict`` is 1 for a fresh one.
 
-def settle_hot(hot: DataFrame, rule: Rule) -> DataFrame:
-    """Verdicts of entries of hot grams ``(doc, body, ord, verdict, g, c)``; these grams have many contexts, so all stay open."""
-    classes = hot.groupBy("g", "c").agg(F.min("doc").alias("low"), F.count(F.lit(1)).alias("n"), F.max("verdict").alias("multi"), F.min(F.struct("doc", "body", "ord")).alias("first"))
-    both = hot.select("doc", "body", "ord", "g", "c").join(classes, ["g", "c"])
-    if rule.smaller:
-        repeated, open_ = F.col("doc") > F.col("low"), F.col("doc") == F.col("low")
-    else:
-        repeated, open_ = (F.col("n") > 1) | (F.col("multi") > 0), F.struct("doc", "body", "ord") == F.col("first")
-    return both.select("doc", "body", "ord", (repeated.cast("int") * REPEATED + open_.cast("int") * (OPEN + HOT_BIT)).cast("tinyint").alias("verdict")).where("verdict > 0")
+    These grams have many contexts, so the texts of each class's smallest id stay open.
+    """
+    low = materialize(hot.groupBy("g", "c").agg(F.min("doc").alias("low")), "repeats-classes")
+    both = hot.select("doc", "body", "ord", F.col("verdict").alias("fresh"), "g", "c").join(low, ["g", "c"])
+    told = F.when(F.col("doc") == F.col("low"), F.lit(OPEN)).when(F.col("fresh") > 0, F.lit(REPEATED)).otherwise(0)
+    return both.select("doc", "body", "ord", told.cast("tinyint").alias("verdict")).where("verdict > 0")
 
 
 def by_document(verdicts: DataFrame) -> DataFrame:
@@ -241,164 +228,64 @@ def by_document(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("doc", "body").agg(F.collect_set(F.col("ord") * 8 + F.col("verdict")).alias("verdicts"))
 
 
-def picked(rule: Rule, data: bytes, verdicts: np.ndarray, mask: int, bits: int):
-    """The anchors of a text whose verdict, of the bits in ``mask``, has just ``bits``: ``(gram, first, last)``."""
-    mine = verdicts[(verdicts & mask) == bits] >> 3
+def picked(rule: Rule, data: bytes, verdicts: np.ndarray, bit: int):
+    """The anchors of a text whose verdict has ``bit``: ``(gram, first, last)``."""
+    mine = verdicts[(verdicts & bit) > 0] >> 3
     if not len(mine):
         none = np.empty(0, np.int64)
         return none.view(np.uint64), none, none
     g, c, first, last = rule.of(data)
-    mine = np.unique(mine)
-    if rule.smaller:
-        classes = mix(g) ^ c
-        mine = np.flatnonzero(np.isin(classes, classes[mine]))
+    classes = mix(g) ^ c
+    mine = np.flatnonzero(np.isin(classes, classes[mine]))
     return g[mine], first[mine], last[mine]
 
 
-_OPEN_SCHEMA = "g long, h long, doc long, body long, at long, context binary"
-
-
-def open_anchors(docs: DataFrame, rule: Rule, contexts: bool) -> DataFrame:
-    """What open anchors have to be compared by, from ``(doc, body, text, verdicts)``.
-
-    Rows ``(g, h, doc, body, at)`` for each window, or with ``contexts``, except
-    for hot grams, ``(g, doc, body, at, context)`` for each anchor. ``at`` is the
-    place of the (first) window.
-    """
+def open_anchors(docs: DataFrame, rule: Rule) -> DataFrame:
+    """Rows ``(g, h, doc, body, at)`` for each window of the open anchors of ``(doc, body, text, verdicts)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple] = []
             for doc, body, text, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                v = v.values.to_numpy()
-                if not (v & OPEN).any():
-                    continue
                 data = text.as_buffer().to_pybytes()
-                mask = OPEN | HOT_BIT if contexts else OPEN
-                g, first, last = picked(rule, data, v, mask, mask)
+                g, first, last = picked(rule, data, v.values.to_numpy(), OPEN)
                 if len(g):
                     at = spread(first, last)
                     h = Hashes(rule.tokens(data)).some(at, at + rule.width)
                     cols = [np.repeat(g, last - first + 1).view(np.int64), h.view(np.int64), np.full(len(at), doc), np.full(len(at), body), at]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.nulls(len(at), pa.binary())], names=["g", "h", "doc", "body", "at", "context"])
-                if contexts:
-                    g, first, last = picked(rule, data, v, mask, OPEN)
-                    out += [(int(x), None, doc, body, int(a), data[a : z + rule.width]) for x, a, z in zip(g.view(np.int64), first, last, strict=True)]
-            if out:
-                cols = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["g", "h", "doc", "body", "at", "context"])
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=["g", "h", "doc", "body", "at"])
 
-    return map_arrow(docs, run, _OPEN_SCHEMA)
+    return map_arrow(docs, run, "g long, h long, doc long, body long, at long")
 
 
-def settle_windows(rows: DataFrame, rule: Rule) -> DataFrame:
+def settle_windows(rows: DataFrame) -> DataFrame:
     """``(doc, body, at, n)``: the windows among ``(g, h, doc, body, at)`` that repeat, as stretches of n = 1."""
-    same = rows.groupBy("g", "h").agg(F.min("doc").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    hit = F.col("doc") > F.col("low") if rule.smaller else F.lit(True)
-    return rows.join(same, ["g", "h"]).where(hit).select("doc", "body", "at", F.lit(1).cast("long").alias("n"))
-
-
-def compare_contexts(rows: DataFrame, rule: Rule) -> DataFrame:
-    """``(doc, body, at, n)``: stretches of windows that repeat among byte contexts ``(g, doc, body, at, context)``.
-
-    For rules without ``smaller``, and grams with few contexts: those of a gram
-    meet in one task.
-    """
-    limit = 2_000_000  # windows compared at once
-
-    def hashed(context: bytes) -> np.ndarray:
-        return Hashes(rule.tokens(context)).every(rule.width)
-
-    def settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if len(held) < 2:
-            return
-        h = [hashed(x[4]) for x in held]
-        size = np.array([len(x) for x in h])
-        owner = np.repeat(np.arange(len(held)), size)
-        key = np.concatenate(h) ^ mix(np.array([x[0] for x in held], dtype=np.int64).view(np.uint64))[owner]
-        order = np.argsort(key, kind="stable")
-        times = np.diff(np.append(np.flatnonzero(_starts(key[order])), len(key)))
-        hit = np.sort(order[np.repeat(times > 1, times)])
-        if not len(hit):
-            return
-        cut = np.flatnonzero((np.diff(hit, prepend=-2) != 1) | (np.diff(owner[hit], prepend=-1) != 0))
-        first, own = hit[cut], owner[hit[cut]]
-        n = np.diff(np.append(cut, len(hit)))
-        offset = first - (np.cumsum(size) - size)[own]
-        doc, body, at = (np.array([x[i] for x in held]) for i in (1, 2, 3))
-        yield pa.RecordBatch.from_arrays([pa.array(doc[own]), pa.array(body[own]), pa.array(at[own] + offset), pa.array(n.astype(np.int64))], names=["doc", "body", "at", "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: list[tuple] = []  # whole groups
-        current: list[tuple] = []
-        gram, windows = None, 0
-        for b in batches:
-            for row in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
-                if row[0] != gram:
-                    if len(current) > 1:
-                        ready += current
-                        windows += sum(len(x[4]) for x in current)
-                    gram, current = row[0], []
-                    if windows >= limit:
-                        yield from settle(ready)
-                        ready, windows = [], 0
-                current.append(row)
-        yield from settle(ready + current)
-
-    return map_arrow(rows.select("g", "doc", "body", "at", "context").repartition("g").sortWithinPartitions("g"), run, "doc long, body long, at long, n long")
-
-
-def context_windows(rows: DataFrame, rule: Rule) -> DataFrame:
-    """``(g, h, doc, body, at)`` of every window of contexts, where the rows lie."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for g, doc, body, at, context in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
-                h = Hashes(rule.tokens(context)).every(rule.width)
-                n = len(h)
-                cols = [np.full(n, g), h.view(np.int64), np.full(n, doc), np.full(n, body), at + np.arange(n, dtype=np.int64)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=["g", "h", "doc", "body", "at"])
-
-    return map_arrow(rows.select("g", "doc", "body", "at", "context"), run, "g long, h long, doc long, body long, at long")
+    same = rows.groupBy("g", "h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("g", "h", "low")
+    same = materialize(same, "repeats-windows")  # so that Spark can split a hot window's other side
+    return rows.join(same, ["g", "h"]).where("doc > low").select("doc", "body", "at", F.lit(1).cast("long").alias("n"))
 
 
 def marked_tokens(rule: Rule, data: bytes, n: int, verdicts: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Which of a text's ``n`` tokens a repeated window covers."""
-    _, first, last = picked(rule, data, verdicts, REPEATED, REPEATED)
+    _, first, last = picked(rule, data, verdicts, REPEATED)
     return covered(n, np.concatenate([first, at]), np.concatenate([last, at + length - 1]), rule.width)
 
 
-def resolve(docs: DataFrame, rule: Rule, contexts: bool, hot: int = HOT, run_anchors: int = RUN_ANCHORS, group: int = 4096, payloads: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(docs with their key, verdicts by key, stretches by key)``, for ``marked_tokens``.
+def resolve(docs: DataFrame, rule: Rule, payloads: DataFrame, history: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(verdicts by key, stretches by key)`` for ``marked_tokens``.
 
-    ``docs`` is ``(doc, text, ...)``; ``payloads`` are its runs where they exist already.
+    ``docs`` is ``(doc, body, text)``, ``payloads`` its runs and those of
+    ``history``, the rows of earlier batches: only rows of it that share a gram
+    with an open one of ``docs`` are read beyond their key.
     """
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = keyed(docs)
-    if payloads is None:
-        payloads = runs(docs, rule, buckets, hot, run_anchors)
-    told = materialize(merge(payloads, rule), "repeats-told")
-    verdicts = told.where("g IS NULL").select("doc", "body", "ord", "verdict").unionByName(settle_hot(told.where("g IS NOT NULL"), rule))
+    told = materialize(merge(payloads), "repeats-told")
+    verdicts = told.where("g IS NULL").select("doc", "body", "ord", "verdict").unionByName(settle_hot(told.where("g IS NOT NULL")))
     verdicts = materialize(by_document(verdicts), "repeats-verdicts")
     doubtful = verdicts.where(F.exists("verdicts", lambda v: v.bitwiseAND(OPEN) > 0))
-    text = docs.select("doc", "body", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
-    rows = materialize(open_anchors(text.join(doubtful, ["doc", "body"]), rule, contexts), "repeats-open")
-    windows = rows.where("h IS NOT NULL").select("g", "h", "doc", "body", "at")
-    if contexts:
-        # A gram with many contexts is compared by window, so that no task holds all of them.
-        some = rows.where("h IS NULL")
-        many = materialize(some.groupBy("g").count().where(F.col("count") > group).select("g"), "repeats-many")
-        windows = windows.unionByName(context_windows(some.join(many, "g", "left_semi"), rule))
-        stretches = compare_contexts(some.join(many, "g", "left_anti"), rule).unionByName(settle_windows(windows, rule))
-    else:
-        stretches = settle_windows(windows, rule)
-    stretches = stretches.groupBy("doc", "body").agg(F.collect_set(F.struct("at", "n")).alias("stretches"))
-    return docs, verdicts, stretches
-
-
-def with_marks(docs: DataFrame, verdicts: DataFrame, stretches: DataFrame) -> DataFrame:
-    """``docs`` with both lists, null where a document has none; all three meet in one shuffle by key."""
-    return docs.join(verdicts, ["doc", "body"], "left").join(stretches, ["doc", "body"], "left")
+    both = docs if history is None else docs.unionByName(history)
+    text = both.select("doc", "body", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
+    rows = materialize(open_anchors(text.join(doubtful, ["doc", "body"]), rule), "repeats-open")
+    stretches = settle_windows(rows).groupBy("doc", "body").agg(F.collect_set(F.struct("at", "n")).alias("stretches"))
+    return verdicts, stretches
 
 
 def lists_of(verdicts, stretches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

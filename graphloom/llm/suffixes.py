@@ -7,9 +7,11 @@
    only suffixes whose leading 64 bytes occur at another anchor too, by a count
    of their hashes, are entered: with their bytes to the right, as far as a
    400-byte string through the anchor reaches, and those to the left.
-2. Ranges. The entries are range-partitioned by their bytes, with splitters
-   sampled from them (Spark's range partitioning). A range holds about
-   ``range_bytes``, since equal entries are counted before they are sent.
+2. Ranges. The entries are range-partitioned by their leading bytes, with
+   splitters sampled from them (Spark's range partitioning, at most a million
+   samples whatever the input). A range holds about ``range_bytes``: equal
+   entries are told before they are sent, and a group of equal leading bytes
+   that is hot is spread over ranges by a hash of the whole entry.
 3. Sorting. Each range is sorted by multikey quicksort and neighbours are
    compared. Suffixes with the same leading 64 bytes form a group; its 400-byte
    strings, one for each place around the anchors, are sorted in the same way,
@@ -318,14 +320,17 @@ def repeats(texts: DataFrame, width: int = WIDTH, gram: int | None = None, range
     copies = anchors.where("ord < 0").groupBy("k1", "g").count().where("count > 1").select("k1", F.col("g").alias("k2"), F.lit(0).cast("long").alias("first"), F.lit(-1).cast("long").alias("n"))
     anchors = anchors.where("ord >= 0")
     place = F.xxhash64("k1", "ord")
-    again = anchors.groupBy("g").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("g")
+    # Written, so that both sides of the join are shuffled for it and Spark can split a gram that is everywhere.
+    again = materialize(anchors.groupBy("g").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("g"), "suffix-again")
     lists = anchors.join(again, "g", "left_semi").groupBy("k1").agg(F.collect_set("ord").alias("ords"))
     rows = materialize(_enter(texts.join(lists, "k1").select("data", "k1", "k2", "ords"), width, gram, run_bytes), "suffix-entries")
     entries = rows.where("suffix IS NOT NULL")
     held = rows.agg(F.sum("size")).first()[0] or 0
     few = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(1, min(few, held // (range_bytes // 8)), -(-held // range_bytes))
-    settled = materialize(_settle(entries.repartitionByRange(int(parts), "suffix", "left"), width, gram, chunk), "suffix-ranges")
+    # Splitters are sampled leading bytes; a group that is hot is cut by a hash of the entry, so equal entries still meet.
+    ranges = entries.repartitionByRange(int(parts), F.substring("suffix", 1, gram), F.xxhash64("suffix", "left"))
+    settled = materialize(_settle(ranges, width, gram, chunk), "suffix-ranges")
     across = _across(settled.where("suffix IS NOT NULL"), width, gram, 4 * few, chunk)
     told = [x.where("suffix IS NULL").select("k1", "k2", "first", "n") for x in (rows, settled)]
     spans = copies.unionByName(told[0]).unionByName(told[1]).unionByName(across)
