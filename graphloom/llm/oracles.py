@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from graphloom.llm.merkle import LEAF_WORDS
 from graphloom.llm.mixing import BLOCK_DOCS, BLOCKS, OUTPUT_SHARDS, PASSES
 
@@ -26,13 +28,26 @@ def _fits(i: int, size: str, gap: str) -> str:
     return f"({size} > 0 AND {size} <= {gap}{f' AND {size} * 4 > {gap}' if i == 1 else ''})"
 
 
-def _split() -> str:
-    """Halving of ranks: node bounds lo..hi, first rank and number of ranks."""
-    sql = f", n0 AS (SELECT src, block, pass, rank, 0 AS lo, {OUTPUT_SHARDS} AS hi, 0::BIGINT AS start, n FROM ranked)"
-    for i in range(1, _LEVELS + 1):
-        left, goes = "floor(n * (mid - lo) / (hi - lo))::BIGINT", "rank - start < floor(n * (mid - lo) / (hi - lo))::BIGINT"
-        sql += f""", n{i} AS (SELECT src, block, pass, rank, CASE WHEN {goes} THEN lo ELSE mid END AS lo, CASE WHEN {goes} THEN mid ELSE hi END AS hi, CASE WHEN {goes} THEN start ELSE start + {left} END AS start, CASE WHEN {goes} THEN {left} ELSE n - {left} END AS n
-FROM (SELECT *, (lo + hi) // 2 AS mid FROM n{i - 1}))"""
+def _lf(n: str) -> str:
+    """ln n! as in mixing.log_factorial."""
+    few = "[" + ", ".join(repr(math.lgamma(i + 1)) for i in range(16)) + "]"
+    x = f"({n})::DOUBLE"
+    series = f"{x} * ln({x}) - {x} + ln({x} * {2 * math.pi!r}) / 2 + 1 / ({x} * 12) - 1 / ({x} * {x} * {x} * 360) + 1 / ({x} * {x} * {x} * {x} * {x} * 1260)"
+    return f"(CASE WHEN ({n}) < 16 THEN {few}[({n}) + 1] ELSE {series} END)"
+
+
+def _tree_levels() -> str:
+    """The splitting tree: nodes lo..hi - 1 with n blocks and ``ks``, the blocks of each source in order."""
+    sql = f""", t0 AS (SELECT 0 AS node, 0 AS lo, {OUTPUT_SHARDS} AS hi, sum(b)::BIGINT AS n, list(b ORDER BY src NULLS LAST) AS ks FROM (SELECT src, count(*)::BIGINT AS b FROM u GROUP BY 1))"""
+    total, special, drawn = "s.n", "q", "s.l"
+    low, high = f"greatest(0, {drawn} - ({total} - {special}))", f"least({special}, {drawn})"
+    ways = f"{_lf(special)} - {_lf('k')} - {_lf(f'{special} - k')} + {_lf(f'{total} - {special}')} - {_lf(f'{drawn} - k')} - {_lf(f'{total} - {special} - {drawn} + k')} - {_lf(total)} + {_lf(drawn)} + {_lf(f'{total} - {drawn}')}"
+    for i in range(_LEVELS):
+        u = f"('0x' || substr(md5('mix:{i}:' || node || ':' || len(s.p)), 1, 13))::BIGINT::DOUBLE / {float(16**13)!r}"
+        pick = f"list_reduce(range({low}, {high} + 1), lambda a, k: {{'c': a.c + exp({ways}), 'k': CASE WHEN a.c < {u} AND a.c + exp({ways}) >= {u} THEN k ELSE a.k END}}, {{'c': 0.0::DOUBLE, 'k': ({high})::BIGINT}}).k"
+        sql += f""", m{i} AS MATERIALIZED (SELECT *, (lo + hi) // 2 AS mid, floor(n * ((lo + hi) // 2 - lo) / (hi - lo))::BIGINT AS half FROM t{i}),
+p{i} AS MATERIALIZED (SELECT *, list_reduce(ks, lambda s, q: list_transform([{pick}], lambda x: {{'n': s.n - q, 'l': s.l - x, 'p': list_append(s.p, x)}})[1], {{'n': n, 'l': half, 'p': []::BIGINT[]}}).p AS picks FROM m{i}),
+t{i + 1} AS (SELECT 2 * node AS node, lo, mid AS hi, half AS n, picks AS ks FROM p{i} UNION ALL SELECT 2 * node + 1, mid, hi, n - half, list_transform(ks, lambda q, j: q - picks[j]) FROM p{i})"""
     return sql
 
 
@@ -40,23 +55,27 @@ MIXING = f"""WITH d AS (SELECT doc_id, source AS src, coalesce(len(regexp_extrac
 s0 AS (SELECT src, sum(size)::DOUBLE AS ss, count(*) AS n FROM d GROUP BY 1),
 s1 AS (SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY src NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w, 2 * ss AS cap, 1.5 * sum(ss) OVER () AS al, sum(n) OVER () AS nn FROM s0),
 s2 AS (SELECT *, (al - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level, row_number() OVER (ORDER BY cap / w, src NULLS LAST) AS pos FROM s1 WINDOW b AS (ORDER BY cap / w, src NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-s3 AS (SELECT src, ss, n, greatest(1, least(ceil(n * {BLOCKS} / nn), floor(n / {BLOCK_DOCS})))::BIGINT AS blocks, least(cap, (SELECT arg_min(level, pos) FROM s2 WHERE cap >= level * w) * w) AS target FROM s2),
+s3 AS (SELECT src, ss, n, greatest(1, least(ceil(n * {BLOCKS} / nn), floor(n / {BLOCK_DOCS})))::BIGINT AS blocks, greatest(1, least({BLOCKS}, floor(n / greatest(1, least(ceil(n * {BLOCKS} / nn), floor(n / {BLOCK_DOCS}))) / {BLOCK_DOCS})))::BIGINT AS cuts, least(cap, (SELECT arg_min(level, pos) FROM s2 WHERE cap >= level * w) * w) AS target FROM s2),
 s AS MATERIALIZED (SELECT *, CASE WHEN ss > 0 THEN floor(target / ss) ELSE 0 END::INT AS fu, target - CASE WHEN ss > 0 THEN floor(target / ss) ELSE 0 END * ss AS rest FROM s3),
-k AS MATERIALIZED (SELECT d.*, blocks, rest, fu, ss, target, h % blocks AS block FROM d JOIN s ON d.src IS NOT DISTINCT FROM s.src),
+k AS MATERIALIZED (SELECT d.*, blocks, rest, fu, ss, target, h % blocks AS block, h // blocks % cuts AS part FROM d JOIN s ON d.src IS NOT DISTINCT FROM s.src),
 b AS (SELECT src, block, sum(size) AS words, any_value(rest) AS rest FROM k GROUP BY 1, 2),
 b2 AS (SELECT *, sum(words) OVER (PARTITION BY src ORDER BY block) AS upto FROM b),
 edge AS MATERIALIZED (SELECT src, min(block) AS edge, arg_min(rest - upto + words, block) AS need FROM b2 WHERE upto > rest GROUP BY 1),
-docs0 AS (SELECT k.src, k.size, k.h, edge, need AS gap0 FROM k JOIN edge ON k.src IS NOT DISTINCT FROM edge.src AND k.block = edge.edge){_fill()},
+ed AS MATERIALIZED (SELECT k.src, k.size, k.h, k.part, edge, need FROM k JOIN edge ON k.src IS NOT DISTINCT FROM edge.src AND k.block = edge.edge),
+parts AS (SELECT src, part, need, words, sum(words) OVER (PARTITION BY src ORDER BY part) AS upto FROM (SELECT src, part, any_value(need) AS need, sum(size) AS words FROM ed GROUP BY 1, 2)),
+pcut AS MATERIALIZED (SELECT src, min(part) AS pcut, arg_min(need - upto + words, part) AS pneed FROM parts WHERE upto > need GROUP BY 1),
+docs0 AS (SELECT ed.src, ed.size, ed.h, edge, pneed AS gap0 FROM ed JOIN pcut ON ed.src IS NOT DISTINCT FROM pcut.src AND ed.part = pcut.pcut){_fill()},
 star AS (SELECT src, arg_min(h, (abs(gap{PASSES[-1]} - size), h)) AS star FROM e{PASSES[-1]} WHERE NOT ({" OR ".join(f"t{i}" for i in PASSES)}) AND size > 0 AND abs(gap{PASSES[-1]} - size) < gap{PASSES[-1]} GROUP BY 1),
 cut AS MATERIALIZED (SELECT src, {", ".join(f"any_value(gap{i - 1}) AS g{i}, any_value(c{i}) AS c{i}" for i in PASSES)} FROM e{PASSES[-1]} GROUP BY 1),
-p AS (SELECT k.doc_id, k.src, k.size, k.h, k.block, k.ss, k.target, k.fu + CASE WHEN k.rest <= 0 THEN 0 WHEN edge.edge IS NULL OR k.block < edge.edge THEN 1 WHEN k.block = edge.edge AND (
-  {" OR ".join(f"({_fits(i, 'k.size', f'g{i}')} AND k.h <= c{i})" for i in PASSES)} OR k.h = coalesce(star, -1)) THEN 1 ELSE 0 END AS times
-  FROM k LEFT JOIN edge ON k.src IS NOT DISTINCT FROM edge.src LEFT JOIN cut ON k.src IS NOT DISTINCT FROM cut.src LEFT JOIN star ON k.src IS NOT DISTINCT FROM star.src),
+p AS (SELECT k.doc_id, k.src, k.size, k.h, k.block, k.ss, k.target, k.fu + CASE WHEN k.rest <= 0 THEN 0 WHEN edge.edge IS NULL OR k.block < edge.edge THEN 1 WHEN k.block = edge.edge AND (k.part < pcut OR k.part = pcut AND (
+  {" OR ".join(f"({_fits(i, 'k.size', f'g{i}')} AND k.h <= c{i})" for i in PASSES)} OR k.h = coalesce(star, -1))) THEN 1 ELSE 0 END AS times
+  FROM k LEFT JOIN edge ON k.src IS NOT DISTINCT FROM edge.src LEFT JOIN pcut ON k.src IS NOT DISTINCT FROM pcut.src LEFT JOIN cut ON k.src IS NOT DISTINCT FROM cut.src LEFT JOIN star ON k.src IS NOT DISTINCT FROM star.src),
 u0 AS (SELECT s.src, block, fu + CASE WHEN rest > 0 AND (edge IS NULL OR block <= edge) THEN 1 ELSE 0 END AS drawn FROM (SELECT *, unnest(range(blocks)) AS block FROM s) s LEFT JOIN edge ON s.src IS NOT DISTINCT FROM edge.src),
 u1 AS (SELECT src, block, unnest(range(1, drawn + 1)) AS pass FROM u0),
-u AS (SELECT *, md5('mix:' || coalesce(src, '') || ':' || block || ':' || pass) AS key FROM u1),
-ranked AS (SELECT *, row_number() OVER (ORDER BY ('0x' || substr(key, 1, 4))::INT % 64, key) - 1 AS rank, count(*) OVER () AS n FROM u){_split()},
-lists AS (SELECT src, block, list(lo ORDER BY pass) AS shards FROM n{_LEVELS} GROUP BY 1, 2)
+u AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY src ORDER BY md5('mix:' || coalesce(src, '') || ':' || block || ':' || pass)) - 1 AS rank FROM u1){_tree_levels()},
+names AS (SELECT src, row_number() OVER (ORDER BY src NULLS LAST) AS j FROM (SELECT DISTINCT src FROM u)),
+leaf AS (SELECT src, lo, ks[j] AS b, sum(ks[j]) OVER (PARTITION BY j ORDER BY lo) AS upto FROM t{_LEVELS} CROSS JOIN names),
+lists AS (SELECT u.src, block, list(lo ORDER BY pass) AS shards FROM u JOIN leaf ON u.src IS NOT DISTINCT FROM leaf.src AND rank >= upto - b AND rank < upto GROUP BY 1, 2)
 SELECT doc_id, size, ss::BIGINT AS source_size, target, (size * times)::BIGINT AS taken, coalesce(array_to_string(shards[1:times], ','), '') AS shards FROM p LEFT JOIN lists ON p.src IS NOT DISTINCT FROM lists.src AND p.block = lists.block"""
 
 
