@@ -75,7 +75,11 @@ def trim() -> None:
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with batches small enough for long texts."""
+    """``mapInArrow`` with batches small enough for long texts.
+
+    Columns reach ``f`` by place: their names may hold dots or back-ticks, which ``mapInArrow`` can't look up.
+    """
+    df = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(f, schema)
 

@@ -8,8 +8,11 @@ no shuffle, memory bounded by one batch.
 The end is filled with silence to a whole number of hops, so every sample is in
 a frame. A payload of one frame has no later one: its peaks are paired within.
 
-Nulls and empty texts are 64 zero bytes. Equal texts give equal files and
-landmarks. Extra columns pass through ``write_wav`` untouched.
+Nulls and empty texts are 64 zero bytes. Equal texts, and so repeated rows, give
+equal files and landmarks; a null doc_id is of no account. A text of any length
+is one file, transformed some frames at a time. An empty table gives an empty
+one. Extra columns pass through untouched, whatever their names; those made here
+win over others of the same name.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import map_arrow
+from graphloom.llm.common import map_arrow, quoted, schema_of
 
 BLOCK = 64
 RATE = 8000
@@ -101,32 +104,30 @@ def landmarks(samples: np.ndarray) -> np.ndarray:
 
 def write_wav(docs: DataFrame, text_col: str = "text", out_col: str = "media", rate: int = RATE) -> DataFrame:
     """``docs`` without its text, with a WAV file of the text's UTF-8 bytes and ``n_bytes``."""
-    kept = [c for c in docs.columns if c not in (text_col, out_col, "n_bytes")]
-    src = docs.select(*kept, F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("__data"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]] + ["n_bytes long", f"`{out_col}` binary"])
+    out = {"n_bytes": "long", out_col: "binary"}
+    kept = [c for c in docs.columns if c != text_col and c not in out]
+    src = docs.select(*map(quoted, kept), F.encode(F.coalesce(F.col(quoted(text_col)), F.lit("")), "UTF-8").alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data = b.column(b.num_columns - 1).to_pylist()
             cols = [b.column(i) for i in range(b.num_columns - 1)]
             cols += [pa.array([len(x) for x in data], pa.int64()), pa.array([to_wav(pad(x), rate) for x in data], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*kept, "n_bytes", out_col])
+            yield pa.RecordBatch.from_arrays(cols, names=[*kept, *out])
 
-    return map_arrow(src, run, schema)
+    return map_arrow(src, run, schema_of(src, kept, out))
 
 
 def read_wav(table: DataFrame, media_col: str = "media") -> DataFrame:
     """What the stored files say: payload, digests and ``landmarks array<long>``; the media column itself goes."""
-    kept = [c for c in table.columns if c != media_col]
-    schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in table.select(*kept).schema.fields]
-        + ["payload_bytes long", "payload_sha256 string", "tail_crc32 long", "media_bytes long", "media_sha256 string", "landmarks array<long>"]
-    )
+    out = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "landmarks": "array<long>"}
+    kept = [c for c in table.columns if c != media_col and c not in out]
+    src = table.select(*map(quoted, kept), F.col(quoted(media_col)).alias("file"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size, sha, tail, msize, msha, marks = [], [], [], [], [], []
-            for media in b.column(b.schema.get_field_index(media_col)):
+            for media in b.column(len(kept)):
                 media = media.as_py()
                 payload, _ = from_wav(media)
                 size.append(len(payload))
@@ -137,8 +138,8 @@ def read_wav(table: DataFrame, media_col: str = "media") -> DataFrame:
                 marks.append(landmarks(np.frombuffer(payload, dtype=np.uint8)))
             ends = np.cumsum([0, *map(len, marks)])
             arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(marks) if marks else np.empty(0, np.int64)))
-            cols = [b.column(b.schema.get_field_index(c)) for c in kept]
+            cols = [b.column(i) for i in range(len(kept))]
             cols += [pa.array(size, pa.int64()), pa.array(sha), pa.array(tail, pa.int64()), pa.array(msize, pa.int64()), pa.array(msha), arrays]
-            yield pa.RecordBatch.from_arrays(cols, names=[*kept, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "landmarks"])
+            yield pa.RecordBatch.from_arrays(cols, names=[*kept, *out])
 
-    return map_arrow(table.select(*kept, media_col), run, schema)
+    return map_arrow(src, run, schema_of(src, kept, out))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from graphloom.llm.merkle import LEAF_WORDS
+from graphloom.llm.merkle import LEAF
 from graphloom.llm.mixing import BLOCK_DOCS, BLOCKS, OUTPUT_SHARDS, PASSES
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -80,21 +80,32 @@ SELECT doc_id, size, ss::BIGINT AS source_size, target, (size * times)::BIGINT A
 
 
 def _tree(name: str, text: str, src: str) -> str:
-    leaf = rf"\s*(?:\S+\s*){{1,{LEAF_WORDS}}}|\s+"
-    return f""", {name}0 AS (SELECT doc_id, list_transform(string_split({text}, E'\\n\\n'), lambda s: list_transform(string_split(s, E'\\n'), lambda p: list_transform(regexp_extract_all(p, '{leaf}'), lambda x: substr(sha256(x), 1, 32)))) AS t FROM {src}),
-{name} AS (SELECT doc_id, sha256('r' || array_to_string(list_transform(t, lambda s: sha256('s' || array_to_string(list_transform(s, lambda p: sha256('p' || array_to_string(p, ''))), ''))), '')) AS root, list_distinct(flatten(flatten(t))) AS leaves FROM {name}0)"""
+    """Sections ``s`` with hash h, n leaves and paragraphs p with h, n and leaves."""
+    return f""", {name}0 AS (SELECT doc_id, list_transform(string_split({text}, E'\\n\\n'), lambda s: list_transform(string_split(s, E'\\n'), lambda p: list_transform(regexp_extract_all(p, '{LEAF.replace("'", "''")}'), lambda x: substr(sha256(x), 1, 32)))) AS t FROM {src}),
+{name}1 AS (SELECT doc_id, list_transform(t, lambda s: list_transform(s, lambda p: {{'h': sha256('p' || array_to_string(p, '')), 'n': len(p), 'leaves': p}})) AS t FROM {name}0),
+{name}2 AS (SELECT doc_id, list_transform(t, lambda s: {{'h': sha256('s' || array_to_string(list_transform(s, lambda p: p.h), '')), 'n': coalesce(list_sum(list_transform(s, lambda p: p.n)), 0), 'p': s}}) AS t FROM {name}1),
+{name} AS (SELECT doc_id, sha256('r' || array_to_string(list_transform(t, lambda s: s.h), '')) AS root, t FROM {name}2)"""
 
 
-def _like(a: str, b: str) -> str:
-    return f"CASE WHEN {a}.root = {b}.root THEN 1.0 WHEN len({a}.leaves) + len({b}.leaves) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect({a}.leaves, {b}.leaves)) / (len({a}.leaves) + len({b}.leaves)) END::DOUBLE"
+def _like(name: str, a: str, b: str, on: str) -> str:
+    """Shared sections, then shared paragraphs of the others, then shared leaves of the rest."""
+    level = lambda x, y: f"list_intersect(list_transform({x}, lambda nd: nd.h), list_transform({y}, lambda nd: nd.h))"
+    known = lambda x, both: f"coalesce(list_sum(list_transform(list_filter(list_distinct(list_transform({x}, lambda nd: {{'h': nd.h, 'n': nd.n}})), lambda nd: list_contains({both}, nd.h)), lambda nd: nd.n)), 0)"
+    rest = lambda x, both: f"list_filter({x}, lambda nd: NOT list_contains({both}, nd.h))"
+    return f""", {name}0 AS (SELECT {a}.doc_id, {a}.t AS x, {b}.t AS y, {level(f"{a}.t", f"{b}.t")} AS hs FROM {a} JOIN e ON {a}.doc_id = e.doc_id JOIN {b} ON {on} = {b}.doc_id),
+{name}1 AS (SELECT doc_id, {known("x", "hs")} AS c0, flatten(list_transform({rest("x", "hs")}, lambda s: s.p)) AS x, flatten(list_transform({rest("y", "hs")}, lambda s: s.p)) AS y FROM {name}0),
+{name}2 AS (SELECT *, {level("x", "y")} AS hp FROM {name}1),
+{name}3 AS (SELECT doc_id, c0 + {known("x", "hp")} AS c, list_distinct(flatten(list_transform({rest("x", "hp")}, lambda p: p.leaves))) AS x, list_distinct(flatten(list_transform({rest("y", "hp")}, lambda p: p.leaves))) AS y FROM {name}2),
+{name} AS (SELECT doc_id, CASE WHEN 2 * c + len(x) + len(y) > 0 THEN 2.0::DOUBLE * (c + len(list_intersect(x, y))) / (2 * c + len(x) + len(y)) ELSE 0.0 END::DOUBLE AS near FROM {name}3)"""
 
 
 MERKLE = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 x AS (SELECT doc_id, text, length(text) AS n, coalesce(lead(doc_id) OVER (ORDER BY doc_id DESC), max(doc_id) OVER ()) AS next_id FROM t),
 e AS (SELECT x.doc_id, x.n, x.next_id, x.text, left(x.text, x.n - x.n // 2) || left(y.text, x.n // 2) AS edited FROM x JOIN t y ON x.next_id = y.doc_id)
-{_tree("own", "text", "t")}{_tree("ed", "edited", "e")}
-SELECT e.doc_id, e.n AS n_chars, sha256(edited) AS edited_sha256, a.root AS fingerprint, b.root AS edited_fingerprint, {_like("a", "b")} AS near_edited, {_like("a", "c")} AS near_next
-FROM e JOIN own a ON e.doc_id = a.doc_id JOIN ed b ON e.doc_id = b.doc_id JOIN own c ON e.next_id = c.doc_id"""
+{_tree("own", "text", "t")}{_tree("ed", "edited", "e")}{_like("ne", "own", "ed", "own.doc_id")}{_like("nn", "own", "own2", "e.next_id").replace("JOIN own2 ON", "JOIN own own2 ON")},
+d AS (SELECT own.doc_id, flatten(list_transform(own.t, lambda s, i: CASE WHEN s.h IS NOT DISTINCT FROM ed.t[i].h THEN [] ELSE list_filter(list_transform(s.p, lambda p, j: CASE WHEN p.h IS DISTINCT FROM ed.t[i].p[j].h THEN (i - 1) || ':' || (j - 1) END), lambda z: z IS NOT NULL) END)) AS edits FROM own JOIN ed ON own.doc_id = ed.doc_id)
+SELECT e.doc_id, e.n AS n_chars, sha256(edited) AS edited_sha256, own.root AS fingerprint, ed.root AS edited_fingerprint, ne.near AS near_edited, nn.near AS near_next, len(edits) AS edited_paragraphs, edits[1] AS first_edit
+FROM e JOIN own ON e.doc_id = own.doc_id JOIN ed ON e.doc_id = ed.doc_id JOIN ne ON e.doc_id = ne.doc_id JOIN nn ON e.doc_id = nn.doc_id JOIN d ON e.doc_id = d.doc_id"""
 
 
 SUBSTRINGS = f"""WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{_WORD}'), []) AS w FROM documents),

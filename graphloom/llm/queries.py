@@ -59,20 +59,22 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.select("doc_id", "text", F.length("text").alias("n"), merkle.tree(F.col("text")).alias("tree"))
-    docs = docs.select("doc_id", "text", "n", F.col("tree.root").alias("root"), merkle.leaves(F.col("tree")).alias("leaves"))
-    rows = merkle.with_next(docs, ["text", "root", "leaves"], tie_col="root")
+    docs = docs.select("doc_id", "text", "n", F.col("tree.root").alias("root"), merkle.branches(F.col("tree")).alias("branches"))
+    rows = merkle.with_next(docs, ["text", "branches"], tie_col="root")
     edited = F.concat(F.expr("left(text, n - floor(n / 2))"), F.expr("left(next_text, floor(n / 2))"))
     rows = rows.withColumn("edited", edited).withColumn("edited_tree", merkle.tree(F.col("edited")))
-    rows = rows.select("*", F.col("edited_tree.root").alias("edited_root"), merkle.leaves(F.col("edited_tree")).alias("edited_leaves"))
-    like = lambda r, x: merkle.likeness(F.col("root"), F.col("leaves"), F.col(r), F.col(x))
+    rows = rows.withColumn("edited_branches", merkle.branches(F.col("edited_tree"))).withColumn("edits", merkle.differing(F.col("branches"), F.col("edited_branches")))
+    first = F.concat_ws(":", F.try_element_at("edits", F.lit(1))["section"], F.try_element_at("edits", F.lit(1))["paragraph"])
     return rows.select(
         "doc_id",
         F.col("n").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         F.col("root").alias("fingerprint"),
-        F.col("edited_root").alias("edited_fingerprint"),
-        like("edited_root", "edited_leaves").alias("near_edited"),
-        like("next_root", "next_leaves").alias("near_next"),
+        F.col("edited_tree.root").alias("edited_fingerprint"),
+        merkle.likeness(F.col("branches"), F.col("edited_branches")).alias("near_edited"),
+        merkle.likeness(F.col("branches"), F.col("next_branches")).alias("near_next"),
+        F.size("edits").cast("long").alias("edited_paragraphs"),
+        F.when(F.size("edits") > 0, first).alias("first_edit"),
     )
 
 
@@ -99,7 +101,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = media.write_wav(documents(spark, sf_dir).select("doc_id", "text"))
-    out = media.read_wav(table)
+    out = media.read_wav(materialize(table, "media"))
     marks = F.col("landmarks")
     feature = F.concat_ws(":", F.size(marks), F.sha2(F.concat_ws(",", marks.cast("array<string>")), 256))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
