@@ -8,12 +8,17 @@ then reads every whole text once, without a shuffle. A score is
 
 over the distinct hashed terms of the text that the model knows: the linear
 part knows single insults, the factors know pairs such as an insult next to a
-group mention that no single weight explains.
+group mention that no single weight explains. Known are the ``TERMS`` terms that
+tell the classes apart best by themselves, and the terms of pairs that tell them
+apart together, though neither may do so alone (``strong_pairs``).
 
 Null and empty texts have no terms and get sigmoid(b). With no usable labels
 (none, or one class) every score is the share of label 1 or 0. Rows whose
-label is null teach nothing. Repeated rows count as often as they occur. Other
-columns are never inputs.
+label is null teach nothing; ids of any type, null ones match no label. Repeated
+rows count as often as they occur. A text of any length is read whole and needs
+memory for its distinct words only. An empty table stays empty. Other columns,
+of any name, pass through and are never inputs; the score wins over one of its
+own name.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import map_arrow
+from graphloom.llm.common import map_arrow, quoted, schema_of
 
 HASH_BITS = 22
 SAMPLE = 12_000
@@ -40,6 +45,10 @@ FACTORS = 4
 MIN_DF = 3
 #: A term is kept if its chi-square against the label is at least this: about one in 100,000 terms by chance.
 STRENGTH = 20.0
+#: Pairs are sought among this many of the most frequent terms of the sample.
+PAIR_TERMS = 1024
+#: A pair's terms are kept if having both is at least so strong: by chance in one of a billion pairs.
+PAIR_STRENGTH = 38.0
 STEPS = 400
 _TERM = re.compile(r"[^\W\d_]+")
 
@@ -98,6 +107,36 @@ def known_terms(text: str, lookup: dict[int, int], seen: dict[str, tuple[int, ..
     return sorted(found)
 
 
+def chi_square(hits, df, pos: float, n: int):
+    """Of having a term (in ``df`` of n rows, ``hits`` of them positive) against the label."""
+    expect = df * pos / n
+    return (hits - expect) ** 2 / np.maximum(expect * (1 - pos / n) * (1 - df / (n + 1)), 1e-9)
+
+
+def presence(rows: list[np.ndarray], terms: np.ndarray) -> np.ndarray:
+    """rows x terms: 1 where a row has a term."""
+    place = np.full(1 << HASH_BITS, -1, np.int32)
+    place[terms] = np.arange(len(terms))
+    x = np.zeros((len(rows), len(terms)), dtype=np.float32)
+    for i, r in enumerate(rows):
+        mine = place[r]
+        x[i, mine[mine >= 0]] = 1.0
+    return x
+
+
+def strong_pairs(x: np.ndarray, y: np.ndarray, limit: int) -> np.ndarray:
+    """Columns of at most ``limit`` pairs of columns of ``x`` whose joint presence tells more than either alone."""
+    n, pos = len(y), float(y.sum())
+    both, hits = x.T @ x, x.T @ (x * y[:, None])
+    alone = chi_square(hits.diagonal(), both.diagonal(), pos, n)
+    joint = chi_square(hits, both, pos, n)
+    joint[(joint < PAIR_STRENGTH) | (both < MIN_DF) | (joint <= 1.5 * np.maximum(alone[:, None], alone))] = 0
+    joint = np.triu(joint, 1)
+    found = np.argsort(-joint, axis=None, kind="stable")[:limit]
+    i, j = np.unravel_index(found[joint.ravel()[found] > 0], joint.shape)
+    return np.unique(np.concatenate([i, j]))
+
+
 def train(rows: list[np.ndarray], labels: np.ndarray, terms: int = TERMS, factors: int = FACTORS, steps: int = STEPS, l2: float = 2e-3, seed: int = 7) -> Model:
     """Full-batch Adam on the logistic loss; the terms kept are those that tell the classes apart best."""
     y = np.asarray(labels, dtype=np.float32)
@@ -113,17 +152,14 @@ def train(rows: list[np.ndarray], labels: np.ndarray, terms: int = TERMS, factor
     values = np.flatnonzero(df >= MIN_DF)
     df, hits = df[values].astype(float), hits[values].astype(float)
     n, pos = len(y), float(y.sum())
-    expect = df * pos / n
-    strength = (hits - expect) ** 2 / np.maximum(expect * (1 - pos / n) * (1 - df / (n + 1)), 1e-9)
-    best = np.sort(np.argsort(-strength, kind="stable")[: min(terms, int((strength >= STRENGTH).sum()))])
-    place = np.full(1 << HASH_BITS, -1, np.int32)
-    place[values[best]] = np.arange(len(best))
-    x = np.zeros((n, len(best)), dtype=np.float32)
-    for i, r in enumerate(rows):
-        mine = place[r]
-        x[i, mine[mine >= 0]] = 1.0
+    strength = chi_square(hits, df, pos, n)
+    best = np.argsort(-strength, kind="stable")[: min(terms, int((strength >= STRENGTH).sum()))]
+    frequent = np.argsort(-df, kind="stable")[:PAIR_TERMS]
+    pairs = strong_pairs(presence(rows, values[frequent]), y, terms)
+    best = np.union1d(best, frequent[pairs]).astype(np.int64)
+    x = presence(rows, values[best])
     rng = np.random.default_rng(seed)
-    params = [np.zeros(len(best), np.float32), (rng.standard_normal((len(best), factors)) * 0.01).astype(np.float32), np.array([math.log(pos / (n - pos))], np.float32)]
+    params = [np.zeros(len(best), np.float32), (rng.standard_normal((len(best), factors)) * 0.1).astype(np.float32), np.array([math.log(pos / (n - pos))], np.float32)]
     m = [np.zeros_like(p) for p in params]
     s = [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
@@ -147,17 +183,17 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE,
     scan of the texts; what comes back is the hashed terms of those documents.
     """
     spark = docs.sparkSession
-    chosen = labels.where(learn & F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("__y"))
-    chosen = chosen.orderBy(F.xxhash64("__id", F.lit("toxicity")), "__id").limit(sample).toPandas()
-    chosen = spark.createDataFrame(chosen, "__id long, __y double")
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
+    chosen = labels.where(learn & F.col(label_col).isNotNull()).select(F.col(quoted(id_col)).cast("string").alias("id"), F.col(quoted(label_col)).cast("double").alias("y"))
+    chosen = chosen.orderBy(F.xxhash64("id", F.lit("toxicity")), "id", "y").limit(sample).toPandas()
+    chosen = spark.createDataFrame(chosen, "id string, y double")
+    texts = docs.select(F.col(quoted(id_col)).cast("string").alias("id"), F.col(quoted(text_col)).alias("text")).join(F.broadcast(chosen), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             terms = [np.array(sorted(text_terms(t or "")), dtype="<i4").tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(terms, pa.binary())], names=["id", "y", "terms"])
 
-    got = map_arrow(texts, run, "id long, y double, terms binary").toPandas().sort_values(["id", "y"], ignore_index=True)
+    got = map_arrow(texts, run, "id string, y double, terms binary").toPandas().sort_values(["id", "y", "terms"], ignore_index=True)
     return train([np.frombuffer(t, dtype="<i4") for t in got["terms"]], got["y"].to_numpy())
 
 
@@ -167,12 +203,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     Pass a copy of the text under another name to keep it.
     """
     kept = [c for c in docs.columns if c not in (text_col, out_col)]
-    src = docs.select(*kept, F.col(text_col).alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]] + [f"`{out_col}` double"])
+    src = docs.select(*map(quoted, kept), F.col(quoted(text_col)).alias("scored"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [model(t) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(b.num_columns - 1)] + [pa.array(got, pa.float64())], names=[*kept, out_col])
 
-    return map_arrow(src, run, schema)
+    return map_arrow(src, run, schema_of(src, kept, {out_col: "double"}))

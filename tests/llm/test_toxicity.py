@@ -45,6 +45,44 @@ def test_factors_learn_a_pair_that_weights_miss():
     assert z(i, j) > 0 > max(z(i), z(j))
 
 
+def test_a_pair_is_learned_of_which_neither_term_tells_anything(spark):
+    """The label says whether two words agree; the single words are as frequent in both classes."""
+    rng = random.Random(9)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    docs, labels = [], []
+    for i in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        w = [rng.choice(vocab) for _ in range(15)] + ["insult" if a else "praise", "they" if b else "someone"]
+        rng.shuffle(w)
+        docs.append((str(i), " ".join(w), 1))
+        labels.append((str(i), int(a == b)))
+    df = spark.createDataFrame(docs, ["doc_id", "text", "__text"])
+    lab = spark.createDataFrame(labels, "doc_id string, toxic int")
+    model = toxicity.fit(df, lab, ~queries.held_out())
+    assert {toxicity.term_hash(t) for t in ("insult", "praise", "they", "someone")} <= set(model.terms.tolist())
+    got = toxicity.score(df, model).withColumn("h", queries.held_out()).where("h").collect()
+    truth = dict(labels)
+    assert got[0].asDict().keys() == {"doc_id", "__text", "score", "h"} and len(got) > 700
+    assert sum((r.score >= 0.5) == truth[r.doc_id] for r in got) / len(got) > 0.97
+
+
+def test_train_and_score_equal_plain_sums():
+    rng = np.random.default_rng(2)
+    xs = [np.unique(rng.integers(0, 40, 12)) for _ in range(400)]
+    ys = np.array([float(3 in x and 5 in x or 7 in x) for x in xs])
+    m = toxicity.train(xs, ys)
+    object.__setattr__(m, "_lookup", {toxicity.term_hash(f"w{chr(97 + k % 26)}{'x' * (k // 26)}"): i for i, k in enumerate(m.terms.tolist())})
+    n = len(m.terms)
+    for _ in range(20):
+        mine = sorted(rng.choice(n, size=min(n, 5), replace=False).tolist())
+        z = m.b + sum(m.w[i] for i in mine) + sum(float(m.v[i] @ m.v[j]) for i in mine for j in mine if i < j)
+        s = m.v[mine].sum(axis=0)
+        assert abs(z - (m.b + m.w[mine].sum() + 0.5 * float((s * s).sum() - (m.v[mine] ** 2).sum()))) < 1e-9
+    text = " ".join(f"w{chr(97 + k % 26)}{'x' * (k // 26)}" for k in m.terms.tolist())
+    z = m.b + m.w.sum() + sum(float(m.v[i] @ m.v[j]) for i in range(n) for j in range(i + 1, n))
+    assert abs(m(text) - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_edges(spark, docs, empty, corpus):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(docs, none, F.lit(True))
