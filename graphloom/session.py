@@ -83,13 +83,19 @@ def forget(df: DataFrame) -> None:
                 _delete(df.sparkSession, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every materialized table of this process.
+def written() -> set[str]:
+    """Paths of the materialized tables that are still there."""
+    return set(_written)
+
+
+def release(spark: SparkSession, paths: set[str] | None = None) -> None:
+    """Delete the materialized tables at ``paths``, or all of this process.
 
     Call it only when no DataFrame built on them will be read again.
     """
     for path in list(_written):
-        _delete(spark, path)
+        if paths is None or path in paths:
+            _delete(spark, path)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
