@@ -38,7 +38,7 @@ from graphloom.llm.common import Recent, map_arrow, quoted, schema_of, worker_st
 
 SPACE = "▁"
 #: Segments and pairs that a worker remembers before it starts over.
-CACHE = 400_000
+CACHE = 200_000
 
 
 def utf8(text: str) -> str:

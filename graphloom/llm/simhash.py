@@ -22,7 +22,9 @@ variant keeps exactly the same components.
 
 Nulls: a null text has no words and the zero fingerprint, linked like any
 other; a row with a null doc_id takes the component of its fingerprint. Rows
-repeated under one doc_id are one document. An empty table gives an empty one.
+repeated under one doc_id are one document. A text of any length is one row for
+one task. An empty table gives an empty one. Other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import map_arrow
+from graphloom.llm.common import map_arrow, quoted
 from graphloom.operators.components import connected_components
 from graphloom.session import materialize
 
@@ -72,7 +74,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
             fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"))
     return map_arrow(src, run, "doc_id long, fp long")
 
 
@@ -214,23 +216,24 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET,
 
 
 def representatives(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, body)``, one row for each component of ``docs(doc_id, body, text)``.
+    """``(nameless, doc_id, body)``, one row for each component of rows ``(nameless, doc_id, body, text)``.
 
-    It is the smallest doc_id, or where no row of a component has one, the
-    smallest ``body``, a long that tells texts without an id apart.
+    A row is named by all three: whether it has no id, its id (0 where it has
+    none) and a hash of its text. It is the smallest of its component, those
+    with an id before those without.
     """
-    named = fingerprints(docs.where("doc_id IS NOT NULL"), shingle).select("doc_id", F.lit(None).cast("long").alias("body"), "fp")
-    nameless = fingerprints(docs.where("doc_id IS NULL"), shingle, "body").select(F.lit(None).cast("long").alias("doc_id"), F.col("doc_id").alias("body"), "fp")
-    fps = materialize(named.unionByName(nameless), "simhash-fps")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("body").alias("body")), "simhash-nodes")
-    edges = link(nodes.select("fp", F.col("fp").alias("doc")), radius, bucket)
-    own = fps.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("u"), F.max("fp").alias("w")).where("u <> w").select("doc_id", "u")
-    if not own.isEmpty():
-        edges = edges.unionByName(fps.join(own, "doc_id").select("u", F.col("fp").alias("v")).where("u <> v").distinct())
-    comps = connected_components(edges)
-    labels = nodes.join(comps, nodes["fp"] == comps["node"], "left").select("doc_id", "body", F.coalesce("component", "fp").alias("component"))
-    best = labels.groupBy("component").agg(F.min("doc_id").alias("doc_id"), F.min("body").alias("body"))
-    return best.select("doc_id", F.when(F.col("doc_id").isNull(), F.col("body")).alias("body"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([fingerprint(t, shingle) for t in b.column(3).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(fp)], names=["nameless", "doc_id", "body", "fp"])
+
+    rows = map_arrow(docs.select("nameless", "doc_id", "body", "text"), run, "nameless boolean, doc_id long, body long, fp long")
+    # Copies and near copies that share a fingerprint are one node from here on.
+    nodes = materialize(rows.groupBy("fp").agg(F.min(F.struct("nameless", "doc_id", "body")).alias("first")), "simhash-nodes")
+    comps = connected_components(link(nodes.select("fp", F.col("fp").alias("doc")), radius, bucket))
+    labels = nodes.join(comps, nodes["fp"] == comps["node"], "left").select("first", F.coalesce("component", "fp").alias("component"))
+    return labels.groupBy("component").agg(F.min("first").alias("first")).select("first.*")
 
 
 def hex16(fp):
