@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.order import with_position
+
 #: Fixed values: (column, type, default) of each table.
 ENTITY = (
     ("id", "string", None), ("human_readable_id", "bigint", None), ("title", "string", None), ("type", "string", "UNKNOWN"), ("description", "string", ""),
@@ -32,8 +34,11 @@ def conform(df: DataFrame, schema: tuple, order: list[str], kind: str, natural_k
     ``human_readable_id`` counts rows in ``order``; where it is there but null
     the null rows get a run of their own. A missing title is ``kind_{i}``.
     """
-    run = F.row_number().over(Window.orderBy(*order)) - 1
-    df = df.withColumn("__i", run)
+    number = F.col("human_readable_id").cast("string").try_cast("double").cast("bigint") if "human_readable_id" in df.columns else None
+    if number is not None:  # rows without a number get a run of their own
+        lacking = with_position(df.where(number.isNull()), order, "__fresh")
+        df = lacking.unionByName(df.where(number.isNotNull()).withColumn("__fresh", F.lit(None).cast("bigint")))
+    df = with_position(df, order, "__i")
     out = []
     for name, kind_, default in schema:
         have = name in df.columns
@@ -42,9 +47,7 @@ def conform(df: DataFrame, schema: tuple, order: list[str], kind: str, natural_k
             c = F.coalesce(F.col("id").cast("string"), made) if have else made
         elif name == "human_readable_id":
             if have:
-                number = F.col(name).cast("string").try_cast("double").cast("bigint")
-                fresh = F.row_number().over(Window.partitionBy(number.isNull()).orderBy(*order)) - 1
-                c = F.coalesce(number, fresh)
+                c = F.coalesce(number, F.col("__fresh"))
             else:
                 c = F.col("__i")
             c = c.cast("bigint")

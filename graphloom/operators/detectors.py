@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import features as X
 from graphloom.operators import graph as G
+from graphloom.operators.order import with_position
 from graphloom.session import materialize
 
 DENSE_LIMIT = 3000
@@ -277,7 +278,7 @@ def by_component(edges: DataFrame, vertices: DataFrame, k: int, labels) -> DataF
 def numbered(named: DataFrame) -> DataFrame:
     """``(node, name)`` to ``membership(node, community)``, communities counted from 0 by descending size."""
     sizes = named.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
-    ids = sizes.withColumn("community", (F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1).cast("bigint"))
+    ids = with_position(sizes.select("name", (-F.col("n")).alias("less"), "first"), ["less", "first"], "community")
     return named.join(ids.select("name", "community"), "name").select("node", "community")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators import graph as G
@@ -13,7 +13,7 @@ def structural(edges: DataFrame, vertices: DataFrame, anchor: str | None = None,
     first = anchor if anchor is not None else vertices.agg(F.min("node")).first()[0]
     out = G.degrees(edges, vertices).select("node", F.col("degree").cast("double").alias("degree"))
     out = out.join(G.clustering(edges, vertices).select("node", "clustering"), "node")
-    out = out.join(G.pagerank(edges, vertices, weighted=False).select("node", F.col("rank").alias("pagerank")), "node")
+    out = out.join(G.pagerank(edges, vertices, rounds=100, weighted=False, tolerance=1e-6).select("node", F.col("rank").alias("pagerank")), "node")
     out = out.join(G.degree_zscore(edges, vertices).select("node", F.col("zscore").alias("eigen")), "node")
     out = out.join(G.common_neighbors(edges, vertices, first).select("node", F.col("common").cast("double").alias("common")), "node")
     return out.join(G.betweenness_sampled(edges, vertices), "node") if betweenness else out
@@ -61,9 +61,9 @@ def adjust(edges: DataFrame, vertices: DataFrame, features: DataFrame, density_s
     links = G.both_ways(e).groupBy("node", "nbr").agg(F.sum("weight").alias("w"))
     deg = vertices.select("node").join(links.groupBy("node").agg(F.sum("w").alias("d")), "node", "left").select("node", F.coalesce("d", F.lit(0.0)).alias("d"))
     density = m / (n * (n - 1) / 2) if n > 1 else 0.0
-    mean = F.avg("d").over(Window.partitionBy())
+    mean = F.col("mean")
     phi = F.col("d") / (F.col("d") + F.when(mean > 0, mean).otherwise(1.0) * (1 + density if density_scaled else 1.0))
-    deg = deg.withColumn("phi", phi)
+    deg = deg.join(F.broadcast(deg.agg(F.avg("d").alias("mean")))).select("node", "d", phi.alias("phi"))  # one row
     scaled = links.join(deg.select("node", F.col("d").alias("di")), "node").join(deg.select(F.col("node").alias("nbr"), F.col("d").alias("dj")), "nbr")
     scaled = scaled.select("node", "nbr", (0.5 * F.col("w") + 0.5 * F.col("w") / F.sqrt((F.col("di") + 1e-10) * (F.col("dj") + 1e-10))).alias("a"))
     near = scaled.join(features.withColumnRenamed("node", "nbr"), "nbr").groupBy("node", "f").agg(F.sum(F.col("a") * F.col("x")).alias("near"))

@@ -5,10 +5,11 @@ No measure builds an adjacency matrix: each is joins and group-bys on edges.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.components import connected_components
+from graphloom.operators.order import with_position
 from graphloom.session import materialize
 
 
@@ -78,11 +79,11 @@ def common_neighbors(edges: DataFrame, vertices: DataFrame, anchor: str) -> Data
     return vertices.select("node").join(n, "node", "left").select("node", F.coalesce("common", F.lit(0)).cast("bigint").alias("common"))
 
 
-def pagerank(edges: DataFrame, vertices: DataFrame, rounds: int = 10, alpha: float = 0.85, weighted: bool = True, cut_every: int = 4) -> DataFrame:
-    """Fixed rounds of power iteration with the mass of isolates spread evenly.
+def pagerank(edges: DataFrame, vertices: DataFrame, rounds: int = 10, alpha: float = 0.85, weighted: bool = True, cut_every: int = 4, tolerance: float | None = None) -> DataFrame:
+    """Power iteration with the mass of isolates spread evenly: ``rounds`` of it, or fewer once ranks change by under ``tolerance`` a node in a round.
 
     One join and one partially aggregated group-by a round; lineage is cut in
-    the shared folder every few rounds.
+    the shared folder every few rounds, where the change is looked at too.
     """
     links = both_ways(edges)
     links = links if weighted else links.withColumn("weight", F.lit(1.0))
@@ -94,32 +95,39 @@ def pagerank(edges: DataFrame, vertices: DataFrame, rounds: int = 10, alpha: flo
     for i in range(rounds):
         got = rank.join(links, "node").groupBy(F.col("nbr").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         lost = rank.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"))
-        rank = rank.select("node", "dangling").join(got, "node", "left").join(F.broadcast(lost))  # one row
-        rank = rank.select("node", "dangling", ((1 - alpha) / n + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
+        rank = rank.withColumnRenamed("rank", "old").join(got, "node", "left").join(F.broadcast(lost))  # one row
+        rank = rank.select("node", "dangling", "old", ((1 - alpha) / n + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
         if (i + 1) % cut_every == 0 and i + 1 < rounds:
             rank = materialize(rank, "pagerank")
+            if tolerance is not None and (rank.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0) < n * tolerance:
+                break
+        rank = rank.drop("old")
     return rank.select("node", "rank")
 
 
-def eigenvector_centrality(edges: DataFrame, vertices: DataFrame, rounds: int = 20, cut_every: int = 4) -> DataFrame:
-    """Power iteration on A + I, unweighted, scaled to unit length."""
+def eigenvector_centrality(edges: DataFrame, vertices: DataFrame, rounds: int = 100, cut_every: int = 4, tolerance: float = 1e-6) -> DataFrame:
+    """Power iteration on A + I, unweighted, scaled to unit length, until nodes change by under ``tolerance`` on average in a round, at most ``rounds``."""
+    n = vertices.count()
     links = both_ways(edges).where("node <> nbr").select("node", "nbr")
     links = materialize(links.unionByName(vertices.select("node", F.col("node").alias("nbr"))), "eigen-links")
-    x = vertices.select("node", F.lit(1.0).alias("x"))
+    x, before = vertices.select("node", F.lit(1.0).alias("x")), None
     for i in range(rounds):
         x = x.join(links, "node").groupBy(F.col("nbr").alias("node")).agg(F.sum("x").alias("x"))
         norm = x.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
         x = x.join(F.broadcast(norm)).select("node", (F.col("x") / F.col("norm")).alias("x"))  # one row
         if (i + 1) % cut_every == 0:
             x = materialize(x, "eigen")
+            if before is not None and x.join(before, "node").agg(F.sum(F.abs(F.col("x") - F.col("before")))).first()[0] < n * tolerance * cut_every:
+                break
+            before = x.select("node", F.col("x").alias("before"))
     return x.select("node", F.col("x").alias("eigenvector"))
 
 
 def degree_zscore(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """What stands for eigenvector centrality in a graph that is not connected."""
-    every = Window.partitionBy()
     d = degrees(edges, vertices)
-    return d.select("node", ((F.col("degree") - F.avg("degree").over(every)) / (F.stddev_pop("degree").over(every) + 1e-8)).alias("zscore"))
+    whole = d.agg(F.avg("degree").alias("mean"), F.stddev_pop("degree").alias("std"))
+    return d.join(F.broadcast(whole)).select("node", ((F.col("degree") - F.col("mean")) / (F.col("std") + 1e-8)).alias("zscore"))  # one row
 
 
 def betweenness_sampled(edges: DataFrame, vertices: DataFrame, pivots: int = 10, max_depth: int = 50) -> DataFrame:
@@ -157,9 +165,9 @@ def betweenness_sampled(edges: DataFrame, vertices: DataFrame, pivots: int = 10,
 
 def weak_bridges(comps: DataFrame, weight: float = 0.001) -> DataFrame:
     """Edges that chain the components in order of their smallest nodes."""
-    roots = comps.select("component").distinct()
-    nxt = F.lead("component").over(Window.orderBy("component"))
-    return roots.select(F.col("component").alias("src"), nxt.alias("dst"), F.lit(weight).alias("weight")).where("dst IS NOT NULL")
+    roots = materialize(with_position(comps.select("component").distinct(), ["component"], "i"), "roots")
+    nxt = roots.select((F.col("i") - 1).alias("i"), F.col("component").alias("dst"))
+    return roots.join(nxt, "i").select(F.col("component").alias("src"), "dst", F.lit(weight).alias("weight"))
 
 
 def with_self_loops(edges: DataFrame, vertices: DataFrame, weight: float = 1e-6) -> DataFrame:

@@ -56,3 +56,11 @@ def adjacent_mentions(mentions: DataFrame, unit: list[str], pos: str = "pos", na
     """``(unit..., source, target, pos)`` of neighbouring mentions in a unit."""
     nxt = F.lead(name).over(Window.partitionBy(*unit).orderBy(pos))
     return mentions.select(*unit, F.col(name).alias("source"), nxt.alias("target"), pos).where("target IS NOT NULL")
+
+
+def neighbours(units: DataFrame, unit: list[str], names: str) -> DataFrame:
+    """The same from one row a unit with its names in order: each array is paired with itself, and nothing is shuffled."""
+    n = F.greatest(F.size(names) - 1, F.lit(0))
+    pairs = F.arrays_zip(F.slice(names, F.lit(1), n).alias("source"), F.slice(names, F.lit(2), n).alias("target"))
+    out = units.select(*unit, F.posexplode(pairs).alias("pos", "x"))
+    return out.select(*unit, F.col("x")["source"].alias("source"), F.col("x")["target"].alias("target"), F.col("pos").cast("bigint").alias("pos"))

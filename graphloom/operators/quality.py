@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.order import with_position
+
 from graphloom.operators.components import connected_components
 from graphloom.operators.graph import degrees
 
@@ -136,5 +138,5 @@ def score_outliers(edges: DataFrame, membership: DataFrame, missing: int) -> Dat
 
 def slice_partition(vertices: DataFrame, k: int, n: int) -> DataFrame:
     """``k`` contiguous slices of the nodes in order: what stands in for a detector that ran out of time."""
-    i = F.row_number().over(Window.orderBy("node")) - 1
-    return vertices.select("node", F.floor(((i + 1) * k - 1) / n).cast("bigint").alias("community"))
+    ordered = with_position(vertices.select("node"), ["node"], "i")
+    return ordered.select("node", F.floor(((F.col("i") + 1) * k - 1) / n).cast("bigint").alias("community"))

@@ -102,7 +102,7 @@ def elo_merge_latest(g):
     return readers.latest_per_k(old.unionByName(new)).select("k", "metric", "method", F.round("elo", 4).alias("elo"))
 
 
-_ITEMS_SQL = GRAPH_SQL + """, t AS (SELECT doc_id, pos, lower(source) AS h, lower(target) AS t FROM rel WHERE chunk_no = 0),
+_ITEMS_SQL = GRAPH_SQL + """, t AS (SELECT doc_id || '_chunk_' || chunk_no AS doc_id, pos, lower(source) AS h, lower(target) AS t FROM rel),
 gold AS (SELECT DISTINCT doc_id, h, 'next' AS r, t FROM t WHERE pos % 3 <> 2), pred AS (SELECT DISTINCT doc_id, h, CASE WHEN pos % 4 = 1 THEN 'near' ELSE 'next' END AS r, t FROM t),
 items AS (SELECT DISTINCT doc_id FROM t)
 """

@@ -41,10 +41,20 @@ class TextGraph:
     def chunks(self) -> DataFrame:
         return chunk_table(self.documents)
 
+    @cached_property
+    def chunk_mentions(self) -> DataFrame:
+        """``(doc_id, lang, chunk_no, ms)``: each chunk's mentions in order."""
+        return self.chunks.select("doc_id", "lang", "chunk_no", mentions(F.col("chunk")).alias("ms"))
+
+    @cached_property
+    def written_mentions(self) -> DataFrame:
+        """The same, written once for nodes and edges."""
+        return materialize(self.chunk_mentions, "mentions")
+
     @cached_property
     def mentions(self) -> DataFrame:
         """``(doc_id, lang, chunk_no, pos, mention, seq)``; ``seq`` orders all mentions."""
-        m = self.chunks.select("doc_id", "lang", "chunk_no", F.posexplode(mentions(F.col("chunk"))).alias("pos", "mention"))
+        m = self.chunk_mentions.select("doc_id", "lang", "chunk_no", F.posexplode("ms").alias("pos", "mention"))
         seq = F.struct("doc_id", "chunk_no", F.col("pos").cast("bigint").alias("pos"))
         return m.select("doc_id", "lang", "chunk_no", F.col("pos").cast("bigint").alias("pos"), "mention", seq.alias("seq"))
 
@@ -55,21 +65,23 @@ class TextGraph:
 
     @cached_property
     def raw_relationships(self) -> DataFrame:
-        m = merge.adjacent_mentions(self.mentions, ["doc_id", "chunk_no"], name="mention")
+        m = merge.neighbours(self.chunk_mentions, ["doc_id", "chunk_no"], "ms")
         seq = F.struct("doc_id", "chunk_no", "pos")
         return m.select(seq.alias("seq"), "source", "target", F.concat(F.lit("in "), F.col("doc_id").cast("string")).alias("description"), F.lit(1.0).alias("weight"))
 
     @cached_property
     def vertices(self) -> DataFrame:
         """``(node, type, docs, description)``: lower-cased titles; the type is the smallest of their documents' languages."""
-        e = self.mentions.groupBy(F.lower("mention").alias("node")).agg(F.countDistinct("doc_id").alias("docs"), F.min("lang").alias("type"))
+        m = self.written_mentions.select("doc_id", "lang", F.explode("ms").alias("mention"))
+        e = m.groupBy(F.lower("mention").alias("node")).agg(F.countDistinct("doc_id").alias("docs"), F.min("lang").alias("type"))
         e = e.where(F.col("docs") >= MIN_DOCS)
         return materialize(e.select("node", "type", "docs", F.concat(F.lit("in "), F.col("docs").cast("string"), F.lit(" documents")).alias("description")), "vertices")
 
     @cached_property
     def edges(self) -> DataFrame:
         """Undirected ``(src, dst, weight)``: how often two nodes are neighbours."""
-        r = self.raw_relationships.select(F.lower("source").alias("source"), F.lower("target").alias("target"), "weight")
+        m = merge.neighbours(self.written_mentions, ["doc_id", "chunk_no"], "ms")
+        r = m.select(F.lower("source").alias("source"), F.lower("target").alias("target"), F.lit(1.0).alias("weight"))
         return materialize(merge.sum_edges(merge.valid_edges(r, self.vertices)), "edges")
 
     @cached_property
@@ -102,11 +114,9 @@ class TextGraph:
 
     @cached_property
     def triple_items(self) -> DataFrame:
-        """Gold and predicted triples of each chunk: all neighbours, and those at even places, odd ones with another relation."""
-        r = merge.adjacent_mentions(self.mentions, ["doc_id", "chunk_no"], name="mention").where("chunk_no = 0")
+        """Gold and predicted triples of each chunk: two of three neighbours, and all of them, every fourth with another relation."""
+        r = merge.neighbours(self.chunk_mentions, ["doc_id", "chunk_no"], "ms")
         t = lambda rel: F.struct(F.lower("source").alias("h"), rel.alias("r"), F.lower("target").alias("t"))
         rel = F.when(F.col("pos") % 4 == 1, F.lit("near")).otherwise(F.lit("next"))
-        g = r.groupBy(F.col("doc_id").alias("index")).agg(
-            F.array_sort(F.collect_set(F.when(F.col("pos") % 3 != 2, t(F.lit("next"))))).alias("gold"), F.array_sort(F.collect_set(F.when(F.col("pos") % 2 < 2, t(rel)))).alias("pred")
-        )
-        return g
+        index = F.concat_ws("_chunk_", "doc_id", "chunk_no").alias("index")
+        return r.groupBy(index).agg(F.array_sort(F.collect_set(F.when(F.col("pos") % 3 != 2, t(F.lit("next"))))).alias("gold"), F.array_sort(F.collect_set(t(rel))).alias("pred"))

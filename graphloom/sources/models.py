@@ -9,8 +9,11 @@ from __future__ import annotations
 import time
 import zlib
 from collections.abc import Callable
+from typing import Protocol
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 
 def chat(send: Callable[[str], str], max_retries: int = 3, wait: Callable[[float], None] = time.sleep) -> Callable[[list[str]], list[str]]:
@@ -44,3 +47,35 @@ def hashing_embedder(dim: int = 64) -> Callable[[list[str]], list[np.ndarray]]:
         return out
 
     return embed
+
+
+class Extractor(Protocol):
+    """Finds entities and relations in texts: a list of ``(head, relation, tail)`` for each."""
+
+    def __call__(self, texts: list[str]) -> list[list[tuple[str, str, str]]]: ...
+
+
+def extract(chunks: DataFrame, extractor: Extractor, text_col: str = "chunk") -> DataFrame:
+    """``chunks`` without its text, with ``triples array<struct<h, r, t>>`` by any extractor, in Arrow batches."""
+    kept = [f for f in chunks.schema.fields if f.name != text_col]
+    schema = StructType([*kept, StructField("triples", ArrayType(StructType([StructField(c, StringType()) for c in "hrt"])))])
+
+    def run(frames):
+        for pdf in frames:
+            found = extractor(pdf[text_col].fillna("").tolist())
+            yield pdf.drop(columns=text_col).assign(triples=[[{"h": h, "r": r, "t": t} for h, r, t in ts] for ts in found])
+
+    return chunks.mapInPandas(run, schema)
+
+
+def embed(rows: DataFrame, embedder: Callable[[list[str]], list[np.ndarray]], text_col: str = "text", out_col: str = "vector", batch: int = 100) -> DataFrame:
+    """``rows`` with ``out_col array<double>``; the embedder sees ``batch`` texts at a time."""
+    schema = StructType([*rows.schema.fields, StructField(out_col, ArrayType(DoubleType()))])
+
+    def run(frames):
+        for pdf in frames:
+            texts = pdf[text_col].fillna("").tolist()
+            vectors = [v for at in range(0, len(texts), batch) for v in embedder(texts[at : at + batch])]
+            yield pdf.assign(**{out_col: [np.asarray(v, dtype=float).tolist() for v in vectors]})
+
+    return rows.mapInPandas(run, schema)

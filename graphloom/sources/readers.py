@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import strip
+from graphloom.operators.order import with_position
 
 
 def json_documents(spark: SparkSession, path: str, max_documents: int | None = None) -> DataFrame:
@@ -14,16 +15,18 @@ def json_documents(spark: SparkSession, path: str, max_documents: int | None = N
     Text is ``text``, else ``content``, else the whole object; title is
     ``title``, else the file's stem. Blank and unreadable files are dropped.
     """
-    raw = spark.read.schema("text string, content string, title string, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "*.json").json(path)
+    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
     stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
-    rows = raw.select(F.coalesce("text", "content").alias("text"), F.coalesce("title", stem).alias("title"), "_corrupt_record", F.to_json(F.struct("title")).alias("whole"))
-    rows = rows.where(F.col("_corrupt_record").isNull()).select("title", F.coalesce("text", "whole").alias("text")).where(strip(F.col("text")) != "")
+    # A variant holds any object; what is no JSON gives none.
+    rows = raw.select(F.col("value").alias("whole"), stem.alias("stem"), F.expr("try_parse_json(value)").alias("v")).where("v IS NOT NULL AND schema_of_variant(v) LIKE 'OBJECT%'")
+    field = lambda name: F.expr(f"try_variant_get(v, '$.{name}', 'string')")
+    rows = rows.select(F.coalesce(field("title"), "stem").alias("title"), F.coalesce(field("text"), field("content"), "whole").alias("text")).where(strip(F.col("text")) != "")
     return limit_documents(documents_table(rows, ["title"]), max_documents) if max_documents else documents_table(rows, ["title"])
 
 
 def documents_table(rows: DataFrame, order: list[str]) -> DataFrame:
     """``id`` doc_{i} and a default title Document_{i}, numbered in ``order``."""
-    i = (F.row_number().over(Window.orderBy(*order)) - 1).cast("string")
+    rows, i = with_position(rows, order, "__i"), F.col("__i").cast("string")
     title = F.coalesce(F.col("title"), F.concat(F.lit("Document_"), i)) if "title" in rows.columns else F.concat(F.lit("Document_"), i)
     return rows.select(F.concat(F.lit("doc_"), i).alias("id"), title.alias("title"), "text")
 
