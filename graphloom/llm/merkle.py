@@ -3,7 +3,7 @@
 Sections are split at blank lines, paragraphs at line ends. A paragraph's leaves
 are runs of words with the white space around them, so the leaves of a text
 joined are the text. Where a leaf ends is decided by content: after a word whose
-last character has a code point divisible by six (below U+0250), or after
+last character has a code point divisible by twelve (below U+0100), or after
 ``LEAF_WORDS`` words; so an insertion changes the leaf it is in and the next at
 most, not all that follow. A node's hash covers its level and its children's
 hashes; the root tests equality. Where two trees differ, only branches under
@@ -29,7 +29,7 @@ from graphloom.llm.common import quoted
 
 LEAF_WORDS = 32
 _SPACE = r"\x20\x09-\x0D"
-_ENDS = "".join(re.escape(chr(c)) for c in range(0x24, 0x250, 6) if not 0x7F <= c < 0xA1)
+_ENDS = "".join(re.escape(chr(c)) for c in range(0x24, 0x100, 12) if not 0x7F <= c < 0xA1)
 LEAF = rf"[{_SPACE}]*(?:[^{_SPACE}]*[^{_SPACE}{_ENDS}][{_SPACE}]+){{0,{LEAF_WORDS - 1}}}[^{_SPACE}]+[{_SPACE}]*|[{_SPACE}]+"
 
 

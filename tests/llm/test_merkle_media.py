@@ -30,7 +30,7 @@ def plain_leaves(p):
     for w in words:
         run.append(w)
         last = ord(w.strip(SPACE)[-1])
-        ends = last % 6 == 0 and 0x24 <= last < 0x250 and not 0x7F <= last < 0xA1
+        ends = last % 12 == 0 and 0x24 <= last < 0x100 and not 0x7F <= last < 0xA1
         if ends or len(run) == 32:
             out.append("".join(run))
             run = []
