@@ -229,15 +229,16 @@ def by_document(verdicts: DataFrame) -> DataFrame:
 
 
 def picked(rule: Rule, data: bytes, verdicts: np.ndarray, bit: int):
-    """The anchors of a text whose verdict has ``bit``: ``(gram, first, last)``."""
+    """The anchors of a text whose verdict has ``bit``: ``(hashes, gram, first, last)``."""
     mine = verdicts[(verdicts & bit) > 0] >> 3
     if not len(mine):
         none = np.empty(0, np.int64)
-        return none.view(np.uint64), none, none
-    g, c, first, last = rule.of(data)
+        return None, none.view(np.uint64), none, none
+    h = Hashes(rule.tokens(data))
+    g, c, first, last = anchors(h, rule.width, rule.gram)
     classes = mix(g) ^ c
     mine = np.flatnonzero(np.isin(classes, classes[mine]))
-    return g[mine], first[mine], last[mine]
+    return h, g[mine], first[mine], last[mine]
 
 
 def open_anchors(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -247,10 +248,10 @@ def open_anchors(docs: DataFrame, rule: Rule) -> DataFrame:
         for b in batches:
             for doc, body, text, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 data = text.as_buffer().to_pybytes()
-                g, first, last = picked(rule, data, v.values.to_numpy(), OPEN)
+                hashes, g, first, last = picked(rule, data, v.values.to_numpy(), OPEN)
                 if len(g):
                     at = spread(first, last)
-                    h = Hashes(rule.tokens(data)).some(at, at + rule.width)
+                    h = hashes.some(at, at + rule.width)
                     cols = [np.repeat(g, last - first + 1).view(np.int64), h.view(np.int64), np.full(len(at), doc), np.full(len(at), body), at]
                     yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=["g", "h", "doc", "body", "at"])
 
@@ -266,7 +267,7 @@ def settle_windows(rows: DataFrame) -> DataFrame:
 
 def marked_tokens(rule: Rule, data: bytes, n: int, verdicts: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Which of a text's ``n`` tokens a repeated window covers."""
-    _, first, last = picked(rule, data, verdicts, REPEATED)
+    _, _, first, last = picked(rule, data, verdicts, REPEATED)
     return covered(n, np.concatenate([first, at]), np.concatenate([last, at + length - 1]), rule.width)
 
 
