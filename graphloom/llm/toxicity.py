@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import map_arrow, quoted, schema_of
+from graphloom.llm.common import map_arrow, quoted, schema_of, trim
 
 HASH_BITS = 22
 SAMPLE = 12_000
@@ -127,7 +127,8 @@ def presence(rows: list[np.ndarray], terms: np.ndarray) -> np.ndarray:
 def strong_pairs(x: np.ndarray, y: np.ndarray, limit: int) -> np.ndarray:
     """Columns of at most ``limit`` pairs of columns of ``x`` whose joint presence tells more than either alone."""
     n, pos = len(y), float(y.sum())
-    both, hits = x.T @ x, x.T @ (x * y[:, None])
+    toxic = x[y > 0]
+    both, hits = x.T @ x, toxic.T @ toxic
     alone = chi_square(hits.diagonal(), both.diagonal(), pos, n)
     joint = chi_square(hits, both, pos, n)
     joint[(joint < PAIR_STRENGTH) | (both < MIN_DF) | (joint <= 1.5 * np.maximum(alone[:, None], alone))] = 0
@@ -194,7 +195,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE,
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(terms, pa.binary())], names=["id", "y", "terms"])
 
     got = map_arrow(texts, run, "id string, y double, terms binary").toPandas().sort_values(["id", "y", "terms"], ignore_index=True)
-    return train([np.frombuffer(t, dtype="<i4") for t in got["terms"]], got["y"].to_numpy())
+    model = train([np.frombuffer(t, dtype="<i4") for t in got["terms"]], got["y"].to_numpy())
+    trim()  # the driver has other things to do
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
