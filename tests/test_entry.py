@@ -21,7 +21,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", ["chunks", "entities_merged", "modularity", "winrate_matrix", "elo_ratings", "strict_f1", "report_context", "extract_parse"])
+@pytest.mark.parametrize("name", ["chunks", "entities_merged", "modularity", "winrate_matrix", "elo_ratings", "strict_f1", "report_context", "extract_parse", "parameter_grid", "unit_previews", "best_split", "question_fan_out", "adapted_components", "late_detector", "entity_aliases"])
 def test_queries_equal_their_sql(spark, con, name):
     df = entry.queries()[name](spark, SF)
     got = con.execute(entry.oracle_sql()[name])
