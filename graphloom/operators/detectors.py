@@ -1,8 +1,8 @@
 """Community detectors: linear algebra in one Arrow group for each connected component.
 
 Graphs above ``DENSE_LIMIT`` nodes in a component never become a dense matrix:
-they take the distributed ways below (label propagation for Leiden,
-``pyspark.ml`` k-means on adjusted covariates or on propagated features).
+spectral clustering and SCORE take their eigenvectors by sparse products
+(``operators/eigen.py``), Leiden and NAC2 the distributed ways below.
 All results are ``membership(node, community)``; they are deterministic.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import features as X
 from graphloom.operators import graph as G
+from graphloom.operators.eigen import adjacency, leading
 from graphloom.operators.order import with_position
 from graphloom.session import materialize
 
@@ -251,16 +252,20 @@ def k_allocation(comps: DataFrame, k: int) -> DataFrame:
     return sizes.join(F.broadcast(found), "component", "left").select("component", "n", F.coalesce("k", F.lit(1)).alias("k"))
 
 
-def by_component(edges: DataFrame, vertices: DataFrame, k: int, labels) -> DataFrame:
-    """``labels(adjacency, k)`` in each component, one Arrow group each; ids are made unique by component."""
+def by_component(edges: DataFrame, vertices: DataFrame, k: int, labels, large) -> DataFrame:
+    """``labels(adjacency, k)`` in each component, one Arrow group each; ids are made unique by component.
+
+    A component that gets one cluster needs no labels. One above ``DENSE_LIMIT``
+    nodes takes ``large(edges, nodes, k)``, the same method on a sparse matrix;
+    at most ``k`` components get more than one cluster, so these are few.
+    """
     comps = materialize(G.components(edges, vertices), "components")
-    share = k_allocation(comps, k)
-    big = share.agg(F.max("n")).first()[0] or 0
-    if big > DENSE_LIMIT:
-        raise ValueError(f"a component has {big} nodes; above {DENSE_LIMIT} use label_propagation or covariate k-means")
+    share = materialize(k_allocation(comps, k), "shares")
+    whole = comps.join(share.where("k = 1").select("component"), "component").select("node", "component", F.lit(0).alias("label"))
     loops = vertices.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("weight"))
     rows = edges.select("src", "dst", F.col("weight").cast("double").alias("weight")).unionByName(loops)
-    rows = rows.join(comps.withColumnRenamed("node", "src"), "src").join(share.select("component", "k"), "component")
+    small = share.where((F.col("k") > 1) & (F.col("n") <= DENSE_LIMIT)).select("component", "k")
+    rows = rows.join(comps.withColumnRenamed("node", "src"), "src").join(small, "component")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes = np.array(sorted(set(pdf["src"])))
@@ -271,10 +276,44 @@ def by_component(edges: DataFrame, vertices: DataFrame, k: int, labels) -> DataF
         found = labels(a, int(pdf["k"].iloc[0]))
         return pd.DataFrame({"node": nodes, "component": pdf["component"].iloc[0], "label": found.astype(int)})
 
-    out = rows.groupBy("component").applyInPandas(run, "node string, component string, label int")
+    out = rows.groupBy("component").applyInPandas(run, "node string, component string, label int").unionByName(whole)
+    for big in share.where((F.col("k") > 1) & (F.col("n") > DENSE_LIMIT)).orderBy("component").collect():
+        nodes = comps.where(F.col("component") == big["component"])
+        own = edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi")
+        found = large(own, nodes.select("node"), big["k"])
+        out = out.unionByName(found.select("node", F.lit(big["component"]).alias("component"), "label"))
     return numbered(out.select("node", F.struct("component", "label").alias("name")))
 
 
+def _clusters(vectors: DataFrame, names: list[str], k: int) -> DataFrame:
+    """``(node, label)`` by ``pyspark.ml`` k-means on the columns ``names``."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    v = materialize(vectors.select("node", F.array(*[F.round(c, 9) for c in names]).alias("vector")), "embedding")
+    v = v.select("node", array_to_vector("vector").alias("features"))
+    model = KMeans(k=k, seed=42, maxIter=100, featuresCol="features", predictionCol="label").fit(v)
+    return model.transform(v).select("node", F.col("label").cast("int").alias("label"))
+
+
+def spectral_large(edges: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """``spectral_labels`` by sparse products: the smallest eigenvectors of the Laplacian are the leading ones of I minus it."""
+    x, names, _ = leading(adjacency(edges, nodes, normalised=True), nodes, k)
+    norm = F.greatest(F.sqrt(sum((F.col(c) * F.col(c) for c in names), F.lit(0.0))), F.lit(1e-12))
+    return _clusters(x.select("node", *[(F.col(c) / norm).alias(c) for c in names]), names, k)
+
+
+def score_large(edges: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """``score_labels`` by sparse products."""
+    x, names, _ = leading(adjacency(edges, nodes, normalised=False), nodes, k, by_size=True)
+    n = nodes.count()
+    first = F.when(F.abs("c0") < 1e-10, F.when(F.col("c0") < 0, -1e-10).otherwise(1e-10)).otherwise(F.col("c0"))
+    most = float(np.log(max(n, 3)) * 10)
+    r = x.select("node", *[F.greatest(F.lit(-most), F.least(F.lit(most), F.col(c) / first)).alias(c) for c in names[1:]])
+    stats = r.agg(*[f(c).alias(f"{c}{t}") for c in names[1:] for f, t in ((F.avg, "m"), (F.stddev_pop, "s"))]).first()
+    return _clusters(r.select("node", *[((F.col(c) - stats[f"{c}m"]) / (stats[f"{c}s"] + 1e-8)).alias(c) for c in names[1:]]), names[1:], k)
+
+
 def numbered(named: DataFrame) -> DataFrame:
     """``(node, name)`` to ``membership(node, community)``, communities counted from 0 by descending size."""
     sizes = named.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
@@ -283,12 +322,12 @@ def numbered(named: DataFrame) -> DataFrame:
 
 
 def spectral(edges: DataFrame, vertices: DataFrame, k: int) -> DataFrame:
-    return by_component(edges, vertices, k, spectral_labels)
+    return by_component(edges, vertices, k, spectral_labels, spectral_large)
 
 
 def score(edges: DataFrame, vertices: DataFrame, k: int) -> DataFrame:
     """Eigenvector ratios on all nodes of a component."""
-    return by_component(edges, vertices, k, score_labels)
+    return by_component(edges, vertices, k, score_labels, score_large)
 
 
 def covariates(edges: DataFrame, vertices: DataFrame, types: DataFrame | None = None, embeddings: DataFrame | None = None, dim: int = 64) -> DataFrame:

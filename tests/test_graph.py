@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import detectors as D
+from graphloom.operators import eigen
 from graphloom.operators import features as X
 from graphloom.operators import graph as G
 from graphloom.operators import merge
@@ -133,6 +134,33 @@ def test_planted_partition(spark, name):
     assert m.count() == v.count()
 
 
+@pytest.mark.parametrize("name", ["spectral", "score"])
+def test_planted_partition_by_sparse_products(spark, monkeypatch, name):
+    monkeypatch.setattr(D, "DENSE_LIMIT", 20)
+    e, v = graph(spark, sbm(), ["alone"])
+    m = getattr(D, name)(e, v, 5)
+    assert rand_index(m.where("node <> 'alone'")) >= 0.9
+    assert m.count() == v.count()
+
+
+@pytest.mark.parametrize("by_size", [False, True])
+def test_leading_vectors_equal_the_dense_ones(spark, by_size):
+    e, v = graph(spark, sbm(seed=5))
+    nodes = sorted(r.node for r in v.collect())
+    a = eigen.adjacency(e, v, normalised=not by_size)
+    dense = np.zeros((len(nodes), len(nodes)))
+    for r in a.collect():
+        dense[nodes.index(r.src), nodes.index(r.dst)] += r.w
+    assert abs(dense - dense.T).max() < 1e-12
+    values, vectors = np.linalg.eigh(dense)
+    order = np.argsort(-np.abs(values) if by_size else -values)[:4]
+    x, names, theta = eigen.leading(a, v, 4, by_size=by_size, tol=1e-6)
+    got = {r.node: [r[c] for c in names] for r in x.collect()}
+    mine = np.array([got[n] for n in nodes])
+    assert np.allclose(theta, values[order], atol=1e-6)
+    assert np.allclose(np.abs(mine.T @ vectors[:, order]), np.eye(4), atol=1e-3)
+
+
 def test_reruns_agree(spark):
     e, v = graph(spark, sbm(seed=3, size=20))
     a, b = D.leiden(e, v), D.leiden(e.repartition(7), v.repartition(3))
