@@ -33,7 +33,7 @@ def chat(send: Callable[[str], str], max_retries: int = 3, wait: Callable[[float
 
 
 def hashing_embedder(dim: int = 64) -> Callable[[list[str]], list[np.ndarray]]:
-    """Signed hashed words, unit length."""
+    """Signed hashed words, unit length; where the signs of all words cancel out, unsigned ones. A text without words is 0."""
 
     def embed(texts: list[str]) -> list[np.ndarray]:
         out = []
@@ -42,6 +42,9 @@ def hashing_embedder(dim: int = 64) -> Callable[[list[str]], list[np.ndarray]]:
             for w in t.lower().split():
                 h = zlib.crc32(w.encode())
                 v[h % dim] += 1 if h >> 16 & 1 else -1
+            if not v.any():
+                for w in t.lower().split():
+                    v[zlib.crc32(w.encode()) % dim] += 1
             n = np.linalg.norm(v)
             out.append(v / n if n else v)
         return out

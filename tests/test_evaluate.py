@@ -133,3 +133,14 @@ def test_event_windows_stream(spark):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT sum(n) FROM windows").first()[0] == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
+def test_words_whose_signs_cancel_out_have_a_unit_vector():
+    """'esue: in 109 documents' has only two buckets besides the first word's: with a word that cancels 'in', as here, all is 0 by signs."""
+    from zlib import crc32
+
+    sign = lambda w: (crc32(w.encode()) % 64, 1 if crc32(w.encode()) >> 16 & 1 else -1)
+    bucket, s = sign("in" if sign("109") == (sign("documents")[0], -sign("documents")[1]) else "documents")
+    word = next(w for w in (f"w{i}:" for i in range(10_000)) if sign(w) == (bucket, -s))
+    assert abs(np.linalg.norm(models.hashing_embedder(64)([f"{word} in 109 documents"])[0]) - 1) < 1e-9
+    assert not models.hashing_embedder(64)([""])[0].any()
