@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import detectors as D
 from graphloom.operators import graph as G
+from graphloom.operators import eigen
 from graphloom.operators import leiden as L
 from graphloom.operators.components import connected_components
 from tests.test_graph import cliques, graph, parts, sbm
@@ -114,3 +115,23 @@ def test_triangles_are_dealt_by_colour_and_counted_once(spark, monkeypatch, colo
     got = {r.node: (r.triangles, r.clustering) for r in G.clustering(e, v).collect()}
     assert [got[n][0] for n in nodes] == t.tolist()
     assert np.allclose([got[n][1] for n in nodes], t / np.maximum(deg * (deg - 1) / 2, 1))
+
+
+@pytest.mark.parametrize("normalised", [True, False])
+def test_leading_vectors_from_edges_equal_the_dense_ones(spark, monkeypatch, normalised):
+    """Vectors are sent once for each block of rows, where a product was a join with every link."""
+    monkeypatch.setattr(eigen, "STEP", 50)
+    pairs = [(a, b, 1.0 + i % 3) for i, (a, b) in enumerate(sbm(seed=5, size=12))]
+    e, v = graph(spark, pairs)
+    nodes = sorted(r.node for r in v.collect())
+    a = 1e-6 * np.eye(len(nodes))
+    for s, d, w in pairs:
+        a[nodes.index(s), nodes.index(d)] = a[nodes.index(d), nodes.index(s)] = w
+    d = a.sum(1)
+    dense = a / np.sqrt(np.outer(d, d)) if normalised else a / d.max()
+    values, vectors = np.linalg.eigh(dense)
+    order = np.argsort(-values if normalised else -np.abs(values))[:3]
+    x, names, theta = eigen.leading_of(e, v, 3, normalised, by_size=not normalised)
+    got = {r.node: [r[c] for c in names] for r in x.collect()}
+    assert np.allclose(theta, values[order], atol=1e-4)
+    assert np.allclose(np.abs(np.array([got[n] for n in nodes]).T @ vectors[:, order]), np.eye(3), atol=0.05)
